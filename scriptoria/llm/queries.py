@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptoria.llm import chat_format, quality_rules, sharding, url_filters
+from scriptoria.llm import chat_format, language_id, packing, quality_model, quality_rules, sharding, url_filters
+from scriptoria.llm.samples import fold
 from scriptoria.session import table
 
 RULE_SCHEMA = "host string, path string, verdict string"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(fold(F.col("doc_id"), 4) != 2), "text", "lang")
+    found = language_id.identify(docs, model, ["doc_id"])
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = docs.where(fold(F.col("doc_id"), 3) != 1).join(labels, "doc_id")
+    model = quality_model.train(rows, F.col("text"), F.col("quality"))
+    found = quality_model.score(docs, model, ["doc_id"])
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * 16, 1.0)
 
@@ -32,5 +56,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op7_chat_format, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_model, op3_packing, op5_sharding, op7_chat_format, op9_quality_rules, op10_url_filter)}
 ORACLES = {"op7_chat_format": chat_format.oracle_select(), "op9_quality_rules": quality_rules.oracle_select(), "op10_url_filter": url_filters.oracle_select()}
