@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import chat_format, language_id, packing, quality_model, quality_rules, sharding, url_filters
+from scriptoria.llm import chat_format, decontaminate, html_extract, language_id, packing, quality_model, quality_rules, sharding, url_filters
 from scriptoria.llm.samples import fold
 from scriptoria.session import table
 
@@ -35,6 +35,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), ["page_id", "url"])
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * 16, 1.0)
 
@@ -46,6 +50,11 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(records, ["conv_id"]))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,5 +65,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_model, op3_packing, op5_sharding, op7_chat_format, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_model, op3_packing, op4_html_extract, op5_sharding, op7_chat_format, op8_decontaminate, op9_quality_rules, op10_url_filter)}
 ORACLES = {"op7_chat_format": chat_format.oracle_select(), "op9_quality_rules": quality_rules.oracle_select(), "op10_url_filter": url_filters.oracle_select()}
