@@ -193,15 +193,16 @@ AT_ONCE = 1 << 21
 
 
 def identify(docs: DataFrame, model: dict[str, str], key_cols: list[str], text_col: str = "text") -> DataFrame:
-    """Key columns, lang_pred and score of every row."""
+    """Key columns, lang_pred and score of every row; the text may be a key column."""
     schema = T.StructType([docs.schema[k] for k in key_cols] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     n = len(key_cols)
+    at = key_cols.index(text_col) if text_col in key_cols else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(model)
         for batch in batches:
             names, scores, part, size = [], [], [], 0
-            for text in batch.column(n):
+            for text in batch.column(at):
                 part.append(text.as_py())
                 size += len(part[-1] or "")
                 if size >= AT_ONCE:
@@ -211,4 +212,4 @@ def identify(docs: DataFrame, model: dict[str, str], key_cols: list[str], text_c
             columns = [*batch.columns[:n], pa.array(names + a, type=pa.string()), pa.array(scores + b, type=pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return docs.select(*[F.col(f"`{k}`") for k in key_cols], F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{k}`") for k in [*key_cols, text_col][: max(n, at + 1)]]).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import chat_format, decontaminate, html_extract, language_id, packing, quality_model, quality_rules, sharding, url_filters
+from scriptoria.llm import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, sharding, url_filters
 from scriptoria.llm.samples import fold
 from scriptoria.session import table
 
@@ -43,6 +43,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), [1.0] * 16, 1.0)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, n=3, num=85, den=100).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, '{CONTROL}' AS text UNION ALL SELECT -1L, 1L, 'assistant', '{CONTROL}'")
@@ -65,5 +70,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_model, op3_packing, op4_html_extract, op5_sharding, op7_chat_format, op8_decontaminate, op9_quality_rules, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_model, op3_packing, op4_html_extract, op5_sharding, op6_near_dedup, op7_chat_format, op8_decontaminate, op9_quality_rules, op10_url_filter)}
 ORACLES = {"op7_chat_format": chat_format.oracle_select(), "op9_quality_rules": quality_rules.oracle_select(), "op10_url_filter": url_filters.oracle_select()}
