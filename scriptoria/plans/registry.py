@@ -46,4 +46,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["m1_stage_timing"](spark, sf_dir)
+    return queries()["r14_hybrid_search"](spark, sf_dir)
