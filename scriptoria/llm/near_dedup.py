@@ -75,26 +75,26 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int, k: int, key_col: str, text_col: str) -> DataFrame:
-    """key, text_hash, n_shingles, cid (digest of the set, null if empty) and sketch."""
+    """key, text_hash, n_shingles, digest of the set (null if empty) and sketch."""
     schema = T.StructType(
         [
             T.StructField("key", docs.schema[key_col].dataType),
             T.StructField("text_hash", T.LongType()),
             T.StructField("n_shingles", T.LongType()),
-            T.StructField("cid", T.BinaryType()),
+            T.StructField("digest", T.BinaryType()),
             T.StructField("sketch", T.ArrayType(T.LongType())),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, cids, found = [], [], []
+            sizes, digests, found = [], [], []
             for text in batch.column(2):
                 s = shingle_set(text.as_py(), n)
                 sizes.append(len(s))
-                cids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 found.append(_signed(s[:k]))
-            columns = [batch.column(0), batch.column(1), pa.array(sizes, type=pa.int64()), pa.array(cids, type=pa.binary()), pa.array(found, type=pa.list_(pa.int64()))]
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, type=pa.int64()), pa.array(digests, type=pa.binary()), pa.array(found, type=pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return docs.select(F.col(f"`{key_col}`").alias("key"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
@@ -171,7 +171,7 @@ def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, de
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     cells = cells.select("value", "bucket", "cid", own.alias("own"), other.alias("other"))
     cells = cells.select("cid", F.xxhash64("value", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
-    sets_schema = "cid binary, n long, items binary"
+    sets_schema = "cid long, n long, items binary"
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,9 +185,9 @@ def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, de
     def within(table: pa.Table) -> pa.Table:
         cids = table.column("cid").to_pylist()
         found = [(cids[i], cids[j]) for i, j in _spanning([np.unique(np.frombuffer(x, dtype="<u4")) for x in table.column("items").to_pylist()], np.array(table.column("n").to_pylist(), dtype=np.float64), num, den)]
-        return pa.table({"a": pa.array([min(p) for p in found], type=pa.binary()), "b": pa.array([max(p) for p in found], type=pa.binary())})
+        return pa.table({"a": pa.array([min(p) for p in found], type=pa.int64()), "b": pa.array([max(p) for p in found], type=pa.int64())})
 
-    return members.groupBy("cell").applyInArrow(within, "a binary, b binary").distinct()
+    return members.groupBy("cell").applyInArrow(within, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -197,9 +197,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known: dict[bytes, np.ndarray] = {}
+            known: dict[int, np.ndarray] = {}
 
-            def full(cid: bytes, text: pa.Scalar, known=known) -> np.ndarray:
+            def full(cid: int, text: pa.Scalar, known=known) -> np.ndarray:
                 if cid not in known:
                     known[cid] = shingle_set(text.as_py(), n)
                 return known[cid]
@@ -211,7 +211,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
 
-    return d.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return d.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -237,13 +237,30 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+#: Bits of the bitmap that keeps most unneeded texts out of a shuffle: 8 MB in all.
+BITMAP = 1 << 26
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(cid, text) of the wanted (cid, key, text_hash). A bitmap of the wanted hashes, of
+    fixed size and so safe to broadcast, drops most other texts before the join."""
+    place = F.pmod(F.xxhash64("key", "text_hash"), F.lit(BITMAP))
+    bucket, bit = F.shiftright(place, 15).alias("bucket"), place.bitwiseAND(32767)
+    bitmaps = wanted.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    d = docs.select(F.col(f"`{key_col}`").alias("key"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
+    byte = F.conv(F.hex(F.substr("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    d = d.withColumn("bucket", bucket).join(F.broadcast(bitmaps), "bucket").where(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0)
+    same = wanted["key"].eqNullSafe(d["key"]) & (wanted["text_hash"] == d["text_hash"])
+    return d.join(wanted, same).groupBy("cid").agg(F.first("text").alias("text"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key_col: str = "doc_id", text_col: str = "text", k: int = 64, list_k: int = 32, short: int = 32, meet: int = 6, block: int = 1024) -> DataFrame:
     """One row per input row: key, text_hash (xxhash64 of the text), n_shingles,
     component_id (the least key reachable over links of similarity num / den or more)
     and kept (the key is that least key)."""
     sketched = cut_lineage(sketches(docs, n, k, key_col, text_col))
-    classes = sketched.where("cid is not null").groupBy("cid").agg(F.min("key").alias("least"), F.min_by(F.struct("key", "text_hash", "n_shingles", "sketch"), F.struct("key", "text_hash")).alias("r"))
-    classes = cut_lineage(classes.select("cid", "least", "r.key", "r.text_hash", "r.n_shingles", "r.sketch"))
+    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("key").alias("least"), F.min_by(F.struct("key", "text_hash", "n_shingles", "sketch"), F.struct("key", "text_hash")).alias("r"))
+    classes = cut_lineage(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "least", "r.key", "r.text_hash", "r.n_shingles", "r.sketch"))
 
     postings = classes.select("cid", "n_shingles", F.explode(F.slice("sketch", 1, list_k)).alias("value"))
     lengths = postings.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
@@ -257,20 +274,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     pairs = _short_list_pairs(postings.where(F.col("c") <= short), num, den)
     pairs = cut_lineage(_estimated(pairs, classes, k, t - 5 * (t * (1 - t) / k) ** 0.5))
 
-    def texts_of(cids: DataFrame) -> DataFrame:
-        own = classes.join(cids.distinct(), "cid", "left_semi").select("cid", "key", "text_hash")
-        all_texts = docs.select(F.col(f"`{key_col}`").alias("key"), F.xxhash64(f"`{text_col}`").alias("text_hash"), F.col(f"`{text_col}`").alias("text"))
-        same = own["key"].eqNullSafe(all_texts["key"]) & (own["text_hash"] == all_texts["text_hash"])
-        return all_texts.join(own, same).groupBy("cid").agg(F.first("text").alias("text"))
-
-    spanning = _long_list_links(long, texts_of(crowded), n, num, den, meet, block)
+    wanted = crowded.union(pairs.select(F.explode(F.array("a", "b")))).distinct()
+    texts = cut_lineage(_texts(docs, classes.join(wanted, "cid", "left_semi").select("cid", "key", "text_hash"), key_col, text_col))
+    spanning = _long_list_links(long, texts.join(crowded, "cid", "left_semi"), n, num, den, meet, block)
     pairs = cut_lineage(pairs.union(spanning).distinct())
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")))
     roots = components(_verified(pairs, texts, n, num, den))
 
-    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("cid", "least", F.coalesce("root", "cid").alias("root"))
+    named = classes.join(roots, classes["cid"] == roots["node"], "left").select("digest", "least", F.coalesce("root", "cid").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = cut_lineage(named.join(ids, "root").select("cid", "component"))
-    d = sketched.select("key", "text_hash", "n_shingles", "cid").join(named, "cid", "left")
+    named = cut_lineage(named.join(ids, "root").select("digest", "component"))
+    d = sketched.select("key", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
     component = F.coalesce("component", "key")
     return d.select(F.col("key").alias(key_col), "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("key") == component, component.isNull()).alias("kept"))
