@@ -162,15 +162,25 @@ def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, de
     """Links within long lists: pairs (a, b) that span each cell's links."""
     first = postings.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("value"))).where(F.col("r") <= meet)
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num)))
-    # a partner of compatible size lies in the same bucket of sizes or the next one
-    cells = first.select("value", "cid", "n_shingles", F.explode(F.array(size, size + 1)).alias("bucket"))
-    counts = cells.groupBy("value", "bucket").agg(F.count("*").alias("c")).where("c > 1")
-    cells = cells.join(counts, ["value", "bucket"])
-    blocks = F.ceil(F.col("c") / block).cast("int")
-    own = F.pmod(F.xxhash64("cid"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    cells = cells.select("value", "bucket", "cid", own.alias("own"), other.alias("other"))
-    cells = cells.select("cid", F.xxhash64("value", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"))
+    # a partner of compatible size lies in the same bucket of sizes or the next one: a
+    # cell holds the members of its bucket ("own") and those of the one below ("low")
+    members = first.select("value", "cid", size.cast("int").alias("size"))
+    counts = members.groupBy("value", "size").agg(F.count("*").alias("c"))
+    near = counts.select("value", (F.col("size") + 1).alias("size"), F.col("c").alias("below")).join(counts, ["value", "size"], "right")
+    near = near.join(counts.select("value", (F.col("size") - 1).alias("size"), F.col("c").alias("above")), ["value", "size"], "left").na.fill(0, ["below", "above"])
+    d = members.join(near.where("c + below + above > 1"), ["value", "size"])
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    mine = F.pmod(F.xxhash64("cid"), blocks("c")).cast("int")
+    # own with own: each pair of blocks; own with low: each own block with each low block
+    pair = lambda i: F.concat_ws(":", F.lit("own"), F.least(mine, i), F.greatest(mine, i))
+    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
+    none = F.array().cast("array<struct<size:int,part:string>>")
+    cell = lambda s, part: F.struct(s.cast("int").alias("size"), part.alias("part"))
+    same = F.when(F.col("c") > 1, F.transform(every("c"), lambda i: cell(F.col("size"), pair(i)))).otherwise(none)
+    down = F.when(F.col("below") > 0, F.transform(every("below"), lambda i: cell(F.col("size"), F.concat_ws(":", F.lit("low"), mine, i)))).otherwise(none)
+    up = F.when(F.col("above") > 0, F.transform(every("above"), lambda i: cell(F.col("size") + 1, F.concat_ws(":", F.lit("low"), i, mine)))).otherwise(none)
+    cells = d.select("value", "cid", F.explode(F.concat(same, down, up)).alias("at"))
+    cells = cells.select("cid", F.xxhash64("value", "at.size", "at.part").alias("cell"))
     sets_schema = "cid long, n long, items binary"
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +190,14 @@ def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, de
             yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "items"])
 
     sets = texts.select("cid", "text").mapInArrow(shingled, sets_schema)
-    members = cells.join(sets, "cid")
+    filled = cells.join(sets, "cid")
 
     def within(table: pa.Table) -> pa.Table:
         cids = table.column("cid").to_pylist()
         found = [(cids[i], cids[j]) for i, j in _spanning([np.unique(np.frombuffer(x, dtype="<u4")) for x in table.column("items").to_pylist()], np.array(table.column("n").to_pylist(), dtype=np.float64), num, den)]
         return pa.table({"a": pa.array([min(p) for p in found], type=pa.int64()), "b": pa.array([max(p) for p in found], type=pa.int64())})
 
-    return members.groupBy("cell").applyInArrow(within, "a long, b long").distinct()
+    return filled.groupBy("cell").applyInArrow(within, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -254,7 +264,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> D
     return d.join(wanted, same).groupBy("cid").agg(F.first("text").alias("text"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key_col: str = "doc_id", text_col: str = "text", k: int = 64, list_k: int = 32, short: int = 32, meet: int = 6, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key_col: str = "doc_id", text_col: str = "text", k: int = 64, list_k: int = 32, short: int = 32, meet: int = 6, block: int = 1536) -> DataFrame:
     """One row per input row: key, text_hash (xxhash64 of the text), n_shingles,
     component_id (the least key reachable over links of similarity num / den or more)
     and kept (the key is that least key)."""
