@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.session import cut_lineage
+
 # Signs of a pasted prompt in a query.
 PROMPT_HINTS = ("you are a", "your task is", "your role is", "<|system|>", "### instruction", "### system", "<system>", "assistant:", "human:")
 # Weights of paper types.
@@ -91,6 +93,19 @@ def ranked(scores: DataFrame, id_col: str = "id", score_col: str = "score") -> D
     return scores.select(F.col(id_col).alias("id"), F.row_number().over(Window.orderBy(F.desc(score_col), id_col)).alias("rank"))
 
 
+def globally_ranked(scores: DataFrame, id_col: str = "id", score_col: str = "score") -> DataFrame:
+    """(id, rank) of a list of any length: range-partitioned by rank, numbered within the
+    ranges, and shifted by the counts of the ranges before. The checkpoint fixes the
+    ranges for both uses."""
+    order = [F.desc("score"), F.asc("id")]
+    d = scores.select(F.col(id_col).alias("id"), F.col(score_col).alias("score")).repartitionByRange(*order)
+    d = cut_lineage(d.withColumn("_range", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    shift = d.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("shift"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return d.withColumn("_inside", inside).join(F.broadcast(shift), "_range").select("id", (F.col("_inside") + F.col("shift")).alias("rank"))
+
+
 def fuse(legs: list[DataFrame], weights: list[float] | None = None, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: the sum of weight / (k + rank) over the legs."""
     weights = weights or [1.0] * len(legs)
@@ -149,10 +164,11 @@ def ego_radial(neighbours: DataFrame) -> DataFrame:
     return d.select("id", "score", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
 
 
-def mmr(candidates: DataFrame, top_k: int, trade: float = 0.7) -> DataFrame:
+def mmr(candidates: DataFrame, top_k: int, trade: float = 0.7, pool: int = 200) -> DataFrame:
     """Greedy maximal marginal relevance within each `group` of (group, id, score,
-    concepts): Jaccard of concept sets against the chosen ones. Sequential by nature, so
-    each group's candidate list (a bounded top list) is one task's work."""
+    concepts): Jaccard of concept sets against the chosen ones. It picks among the `pool`
+    best candidates of a group, as a reranker does; the choice is sequential by nature, and
+    the pool bounds one task's work."""
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "id"], ascending=[False, True])
@@ -166,4 +182,6 @@ def mmr(candidates: DataFrame, top_k: int, trade: float = 0.7) -> DataFrame:
         return pd.DataFrame({"group": [group] * len(chosen), "id": [c[0] for c in chosen], "place": range(1, len(chosen) + 1)})
 
     kinds = dict(candidates.dtypes)
-    return candidates.groupBy("group").applyInPandas(choose, f"group {kinds['group']}, id {kinds['id']}, place int")
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "id"))
+    best = candidates.withColumn("_place", place).where(F.col("_place") <= pool).drop("_place")
+    return best.groupBy("group").applyInPandas(choose, f"group {kinds['group']}, id {kinds['id']}, place int")

@@ -13,12 +13,11 @@ from scriptoria.plans.registry import query
 from scriptoria.plans.views import CITATIONS_SQL, citations
 from scriptoria.session import table
 
-EDGES_SQL = "e AS MATERIALIZED (SELECT l_orderkey % 300 AS src, l_partkey % 300 AS dst FROM lineitem WHERE l_orderkey % 300 < 250 AND l_orderkey % 7 = 0)"
+EDGES_SQL = "e AS MATERIALIZED (SELECT l_orderkey % 250 AS src, l_partkey % 300 AS dst FROM lineitem)"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    line = table(spark, d, "lineitem").where("l_orderkey % 300 < 250 AND l_orderkey % 7 = 0")
-    return line.select((F.col("l_orderkey") % 300).alias("src"), (F.col("l_partkey") % 300).alias("dst"))
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 250).alias("src"), (F.col("l_partkey") % 300).alias("dst"))
 
 
 def _rank_sql(rounds: int, standard: bool) -> str:
@@ -176,12 +175,12 @@ def g23(spark, d):
 
 @query(
     "g24_gap_radar",
-    "WITH a AS (SELECT source AS axis, max(length(text)) AS longest FROM documents GROUP BY source), g AS (SELECT source AS axis, count(*) AS gaps FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND doc_id % 10 = 0 GROUP BY source) SELECT axis, round(greatest(0, (longest > 200)::INT - 0.4 * coalesce(gaps, 0)), 4)::DOUBLE AS score FROM a LEFT JOIN g USING (axis)",
+    "WITH a AS (SELECT source AS axis, max(length(text)) AS longest FROM documents GROUP BY source), g AS (SELECT source AS axis, count(*) AS gaps FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY source) SELECT axis, round(greatest(0, (longest > 200)::INT - 0.4 * coalesce(gaps, 0)), 4)::DOUBLE AS score FROM a LEFT JOIN g USING (axis)",
 )
 def g24(spark, d):
     docs = table(spark, d, "documents")
     a = docs.groupBy(F.col("source").alias("axis")).agg(F.max(F.length("text")).alias("longest"))
-    g = docs.where("doc_id % 10 = 0").join(table(spark, d, "labels").where("quality = 0"), "doc_id").groupBy(F.col("source").alias("axis")).agg(F.count("*").alias("gaps"))
+    g = docs.join(table(spark, d, "labels").where("quality = 0"), "doc_id").groupBy(F.col("source").alias("axis")).agg(F.count("*").alias("gaps"))
     score = F.greatest(F.lit(0.0), (F.col("longest") > 200).cast("double") - 0.4 * F.coalesce("gaps", F.lit(0)))
     return a.join(g, "axis", "left").select("axis", F.round(score, 4).alias("score"))
 

@@ -353,11 +353,11 @@ def w4(spark, d):
 
 @query(
     "w5_first_appearance_numbers",
-    "WITH f AS (SELECT l_orderkey % 20 AS book, l_partkey, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem WHERE l_orderkey < 2000 GROUP BY ALL) SELECT book, l_partkey, row_number() OVER (PARTITION BY book ORDER BY pos, l_partkey) AS number FROM f",
+    "WITH f AS (SELECT l_orderkey // 20 AS book, l_partkey, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY ALL) SELECT book, l_partkey, row_number() OVER (PARTITION BY book ORDER BY pos, l_partkey) AS number FROM f",
 )
 def w5(spark, d):
     pos = F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")
-    f = table(spark, d, "lineitem").where("l_orderkey < 2000").groupBy((F.col("l_orderkey") % 20).alias("book"), "l_partkey").agg(pos)
+    f = table(spark, d, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 20).alias("book"), "l_partkey").agg(pos)
     return f.select("book", "l_partkey", F.row_number().over(Window.partitionBy("book").orderBy("pos", "l_partkey")).cast("long").alias("number"))
 
 

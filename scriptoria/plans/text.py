@@ -37,9 +37,9 @@ def f4(spark, d):
     return c.select("doc_id", "chunk", F.length("content").alias("n_chars"), tx.token_count(F.col("content")).alias("tokens"))
 
 
-@query("f5_token_counts", r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::BIGINT AS tokens FROM documents WHERE lang = 'en'")
+@query("f5_token_counts", r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))::BIGINT AS tokens FROM documents")
 def f5(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", tx.token_count(F.col("text")).cast("long").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", tx.token_count(F.col("text")).cast("long").alias("tokens"))
 
 
 @query("f6_staleness", "SELECT doc_id, doc_id % 5 < 3 AS stale FROM documents")
@@ -67,10 +67,10 @@ def f9(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.doi(t).alias("doi"), tx.arxiv_id(t).alias("arxiv"))
 
 
-@query("f11_clean_space", r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS clean, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))::BIGINT AS words FROM documents WHERE doc_id < 200")
+@query("f11_clean_space", r"SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS clean, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))::BIGINT AS words FROM documents")
 def f11(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").where("doc_id < 200").select("doc_id", tx.clean_space(t).alias("clean"), tx.word_count(t).cast("long").alias("words"))
+    return table(spark, d, "documents").select("doc_id", tx.clean_space(t).alias("clean"), tx.word_count(t).cast("long").alias("words"))
 
 
 @query("f14_inverted_abstract", "SELECT p_partkey, p_brand || ' ' || p_type || ' ' || p_brand AS t FROM part WHERE p_brand <> p_type")
@@ -92,10 +92,10 @@ def f15(spark, d):
 
 @query(
     "f16_title_jaccard",
-    "WITH x AS (SELECT p_partkey, list_distinct(string_split(lower(p_type), ' ')) AS a, list_distinct(string_split(lower(p_name), ' ')) AS b FROM part), j AS (SELECT p_partkey, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS s FROM x) SELECT p_partkey, round(s, 6) AS s, CASE WHEN s >= 0.8 THEN 'verified' WHEN s >= 0.5 THEN 'partial' ELSE 'mismatch' END AS verdict FROM j WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey = j.p_partkey AND regexp_matches(p_type || p_name, '[^a-zA-Z0-9_ ]'))",
+    "WITH x AS (SELECT p_partkey, list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^a-z0-9_]+'), lambda x: x <> '')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9_]+'), lambda x: x <> '')) AS b FROM part), j AS (SELECT p_partkey, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS s FROM x) SELECT p_partkey, round(s, 6) AS s, CASE WHEN s >= 0.8 THEN 'verified' WHEN s >= 0.5 THEN 'partial' ELSE 'mismatch' END AS verdict FROM j",
 )
 def f16(spark, d):
-    p = table(spark, d, "part").where("NOT concat(p_type, p_name) RLIKE '[^a-zA-Z0-9_ ]'")
+    p = table(spark, d, "part")
     s = tx.jaccard(F.col("p_type"), F.col("p_name"))
     return p.select("p_partkey", F.round(s, 6).alias("s"), tx.verdict(s).alias("verdict"))
 
