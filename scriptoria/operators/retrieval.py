@@ -76,15 +76,20 @@ def full_text(docs: DataFrame, id_col: str, text_col: str, query: str, k: int, w
     """Lexical leg: rows that hold all query terms, ranked by cover density, then id."""
     terms = sorted(set(re.findall(r"[^\W_]+", query.lower())))
     rows = docs if where is None else docs.where(where)
-    d = rows.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
-    d = d.where(reduce(lambda a, b: a & b, [F.array_contains("t", t) for t in terms], F.lit(True)))
-    place = lambda term: F.filter(F.transform("t", lambda x, i: F.when(x == term, i)), lambda x: x.isNotNull())
+    # a text without a term's letters can't have the term: cheap, and before the split
+    rows = rows.where(reduce(lambda a, b: a & b, [F.contains(F.lower(F.col(text_col)), F.lit(t)) for t in terms], F.lit(True)))
+
+    def places(t: Column) -> Column:
+        of = lambda term: F.filter(F.transform(t, lambda x, i: F.when(x == term, i)), lambda x: x.isNotNull())
+        return F.array(*[of(term) for term in terms])
 
     @F.pandas_udf("double")
     def density(p: pd.Series) -> pd.Series:
         return p.map(lambda terms: cover_density([list(x) for x in terms]))
 
-    scored = d.select("id", F.array(*[place(t) for t in terms]).alias("p")).select("id", density("p").alias("score"))
+    # the one-element array binds the tokens once
+    found = rows.select(F.col(id_col).alias("id"), F.get(F.transform(F.array(tokens(F.col(text_col))), places), F.lit(0)).alias("p"))
+    scored = found.where(F.forall("p", lambda x: F.size(x) > 0)).select("id", density("p").alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 

@@ -11,7 +11,7 @@ from scriptoria.operators import retrieval as ops
 from scriptoria.operators import vectors as vec
 from scriptoria.plans.registry import query
 from scriptoria.plans.views import citations
-from scriptoria.session import table
+from scriptoria.session import cut_lineage, table
 
 DIMENSIONS = 64
 _SQL_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
@@ -151,9 +151,10 @@ def r14(spark, d):
     docs = table(spark, d, "documents")
     sparse = _sparse(spark, d).orderBy(F.desc("score"), "id").limit(50)
     lexical = ops.full_text(docs, "doc_id", "text", "the of and", 50)
-    fused = ops.fuse([ops.ranked(_dense(spark, d, 50)), ops.ranked(sparse), ops.ranked(lexical)], [1.0, 1.0, 0.5])
+    # at most 150 rows, used by the boosts more than once
+    fused = cut_lineage(ops.fuse([ops.ranked(_dense(spark, d, 50)), ops.ranked(sparse), ops.ranked(lexical)], [1.0, 1.0, 0.5]))
     cited = citations(spark, d).groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("n"))
-    boosted = ops.cocitation_boost(ops.count_boost(fused, cited, 0.1), citations(spark, d), 0.1)
+    boosted = ops.cocitation_boost(cut_lineage(ops.count_boost(fused, cited, 0.1)), citations(spark, d), 0.1)
     shown = docs.select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 120).alias("preview"))
     return boosted.join(shown, "id").select("id", F.round("score", 8).alias("score"), "source", "lang", "preview").orderBy(F.desc("score"), "id").limit(50)
 
