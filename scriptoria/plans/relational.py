@@ -259,10 +259,10 @@ def a12(spark, d):
 
 @query(
     "a13_most_common_with_first",
-    "SELECT l_suppkey, count(*)::BIGINT AS n, min_by(l_partkey, l_orderkey * 10 + l_linenumber) AS first_part FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 50",
+    "SELECT l_suppkey, count(*)::BIGINT AS n, min_by(l_partkey, (l_orderkey * 10 + l_linenumber, l_partkey)) AS first_part FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 50",
 )
 def a13(spark, d):
-    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min_by("l_partkey", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first_part"))
+    g = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.min_by("l_partkey", F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), F.col("l_partkey"))).alias("first_part"))
     return g.orderBy(F.desc("n"), "l_suppkey").limit(50)
 
 
