@@ -15,6 +15,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once for a row however often body names it,
+    also where the optimizer moves the whole expression into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def boxed(df: DataFrame, **columns: Column) -> DataFrame:
     """The rows of df in one struct `_row` beside the given working columns, so that
     no name in df can clash with a working name."""

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import boxed, unboxed, words_of
+from scriptoria.llm.common import boxed, let, unboxed, words_of
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -30,85 +30,96 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes if low <= numerator / denominator <= high (0 / 0 counts as 0)."""
+    """A document passes if low <= numerator / denominator <= high (0 / 0 counts as 0); the
+    rule judges texts of from_words words or more."""
 
     name: str
     numerator: str
     denominator: str
     low: float
     high: float
+    from_words: int = 0
 
 
 #: The threshold table. The base rule of the contract stands beside it.
 RULES = (
     Rule("mean_word_chars", "word_chars", "n_words", 1.5, 20.0),
     Rule("symbols_per_word", "n_symbols", "n_words", 0.0, 0.25),
-    Rule("stop_word_share", "n_stop_words", "n_words", 0.01, 0.8),
-    Rule("duplicate_line_share", "n_dup_lines", "n_lines", 0.0, 0.3),
+    Rule("stop_word_share", "n_stop_words", "n_words", 0.01, 0.8, 30),
+    Rule("duplicate_line_share", "n_dup_lines", "n_lines", 0.0, 0.5),
 )
 
 
-def _repeat_words(words: Column, windows: Column) -> Column:
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
+def _repeat_words(windows: Column) -> Column:
     """Words that lie in a five-word window found at least twice in the text.
 
     The windows are sorted with their places; a place counts if a neighbour in this
-    order has the same window; the union of the counted spans is then summed up.
-    """
-    ordered = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    order has the same window; the union of the counted spans is then summed up. Texts
+    without equal windows, by far the most, skip the sort."""
 
     def starts(s: Column) -> Column:
         same = lambda k, other: F.coalesce(F.get(s, k)["w"] == F.get(s, other)["w"], F.lit(False))
         found = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
         return F.array_sort(F.transform(found, lambda k: F.get(s, k)["i"]))
 
-    # transform over a one-element array binds the sorted windows once
-    places = F.flatten(F.transform(F.array(ordered), starts))
-    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    places = let(F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), starts)
     covered = F.aggregate(
         places,
-        zero,
+        F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")),
         lambda a, p: F.struct((p + 5).cast("int").alias("end"), (a["n"] + 5 - F.greatest(F.lit(0), a["end"] - p)).cast("int").alias("n")),
         lambda a: a["n"],
     )
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0))
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with the measures, one boolean `failed_<rule>` per rule, base_failed and kept."""
-    text = F.coalesce(F.col("_text"), F.lit(""))
-    d = boxed(docs, _text=F.col(f"`{text_col}`"))
-    d = d.select("_row", text.alias("_text"), words_of(text).alias("_words"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"))
-    n = F.size("_words")
-    windows = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.array_join(F.slice("_words", i, 5), " "))).otherwise(F.array().cast("array<string>"))
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """One struct of all measures, base_failed, failed_<rule> and kept for a text."""
     stop = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
-    d = d.select(
-        "_row",
-        n.cast("long").alias("n_words"),
-        F.length(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.size(F.filter("_words", lambda w: w.isin(stop))).cast("long").alias("n_stop_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.col("_words"),
-        windows.alias("_windows"),
-    )
-    measures = ["n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words"]
-    d = d.select("_row", *measures[:-1], _repeat_words(F.col("_words"), F.col("_windows")).cast("long").alias("n_repeat_words"))
 
-    def failed(r: Rule) -> Column:
-        ratio = F.coalesce(F.try_divide(F.col(r.numerator).cast("double"), F.col(r.denominator)), F.lit(0.0))
-        return ~ratio.between(r.low, r.high)
+    def measured(s: Column) -> Column:
+        text, words, lines = s["text"], s["words"], s["lines"]
+        n = F.size(words)
+        windows = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.array_join(F.slice(words, i, 5), " "))).otherwise(F.array().cast("array<string>"))
+        values = (
+            n,
+            F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")),
+            F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
+            F.size(F.filter(words, lambda w: w.isin(stop))),
+            F.size(lines),
+            F.size(lines) - F.size(F.array_distinct(lines)),
+            let(windows, _repeat_words),
+        )
+        return F.struct(*[v.cast("long").alias(m) for m, v in zip(MEASURES, values, strict=True)])
+
+    def judged(m: Column) -> Column:
+        def failed(r: Rule) -> Column:
+            ratio = F.coalesce(F.try_divide(m[r.numerator].cast("double"), m[r.denominator]), F.lit(0.0))
+            return (m["n_words"] >= r.from_words) & ~ratio.between(r.low, r.high)
+
+        base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        fails = {f"failed_{r.name}": failed(r) for r in rules}
+        kept = ~reduce(lambda a, b: a | b, fails.values(), base)
+        return F.struct(*[m[x].alias(x) for x in MEASURES], *[c.alias(k) for k, c in fails.items()], base.alias("base_failed"), kept.alias("kept"))
+
+    t = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return let(let(F.struct(t.alias("text"), words_of(t).alias("words"), lines.alias("lines")), measured), judged)
+
 
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fails = {f"failed_{r.name}": failed(r) for r in rules}
-    kept = ~reduce(lambda a, b: a | b, fails.values(), base)
-    return unboxed(d, docs.columns, **{m: F.col(m) for m in measures}, **fails, base_failed=base, kept=kept)
+def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with the measures, one boolean `failed_<rule>` per rule, base_failed and kept."""
+    d = boxed(docs, _j=judgement(F.col(f"`{text_col}`"), rules))
+    names = [*MEASURES, *(f"failed_{r.name}" for r in rules), "base_failed", "kept"]
+    return unboxed(d, docs.columns, **{n: F.col(f"_j.{n}") for n in names})
 
 
 def oracle_select() -> str:
     """DuckDB SQL with the operator's measures and verdict for each document."""
     stop = ", ".join("'" + w + "'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
-    fails = " OR ".join(f"NOT (CASE WHEN {r.denominator} = 0 THEN 0 ELSE {r.numerator}::DOUBLE / {r.denominator} END BETWEEN {r.low} AND {r.high})" for r in RULES)
+    fails = " OR ".join(f"n_words >= {r.from_words} AND NOT (CASE WHEN {r.denominator} = 0 THEN 0 ELSE {r.numerator}::DOUBLE / {r.denominator} END BETWEEN {r.low} AND {r.high})" for r in RULES)
     return f"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
