@@ -158,13 +158,12 @@ def _spanning(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) ->
     return edges
 
 
-def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, den: int, meet: int, block: int) -> DataFrame:
+def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, den: int, block: int) -> DataFrame:
     """Links within long lists: pairs (a, b) that span each cell's links."""
-    first = postings.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("value"))).where(F.col("r") <= meet)
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num)))
     # a partner of compatible size lies in the same bucket of sizes or the next one: a
     # cell holds the members of its bucket ("own") and those of the one below ("low")
-    members = first.select("value", "cid", size.cast("int").alias("size"))
+    members = postings.select("value", "cid", size.cast("int").alias("size"))
     counts = members.groupBy("value", "size").agg(F.count("*").alias("c"))
     near = counts.select("value", (F.col("size") + 1).alias("size"), F.col("c").alias("below")).join(counts, ["value", "size"], "right")
     near = near.join(counts.select("value", (F.col("size") - 1).alias("size"), F.col("c").alias("above")), ["value", "size"], "left").na.fill(0, ["below", "above"])
@@ -278,7 +277,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # a class goes to the long lists' way too if 3 in 10 of its values lie in them
     share = postings.where(F.col("c") > short).groupBy("cid").agg(F.count("*").alias("in_long"), F.first("n_shingles").alias("n"))
     crowded = share.where(10 * F.col("in_long") >= 3 * F.least("n", F.lit(list_k))).select("cid")
-    long = postings.where(F.col("c") > short).join(crowded, "cid")
+    # and meets the others in the first `meet` of them
+    turn = F.row_number().over(Window.partitionBy("cid").orderBy("value"))
+    long = postings.where(F.col("c") > short).withColumn("turn", turn).where(F.col("turn") <= meet).join(crowded, "cid", "left_semi")
 
     t = num / den
     pairs = _short_list_pairs(postings.where(F.col("c") <= short), num, den)
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     wanted = crowded.union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     texts = cut_lineage(_texts(docs, classes.join(wanted, "cid", "left_semi").select("cid", "key", "text_hash"), key_col, text_col))
-    spanning = _long_list_links(long, texts.join(crowded, "cid", "left_semi"), n, num, den, meet, block)
+    spanning = _long_list_links(long, texts.join(crowded, "cid", "left_semi"), n, num, den, block)
     pairs = cut_lineage(pairs.union(spanning).distinct())
     roots = components(_verified(pairs, texts, n, num, den))
 
