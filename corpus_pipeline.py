@@ -17,12 +17,12 @@ from scriptoria.session import cut_lineage, table
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules.quality_rules(docs).where("kept").select(*docs.columns)
+    return docs.where(quality_rules.judgement(F.col("text"))["kept"])
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a score of one half or more."""
-    model = language_id.train(docs.where(fold(F.col("doc_id"), 4) != 2), "text", "lang")
+    model = language_id.train(docs.where(fold(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
     known = language_id.identify(docs, model, docs.columns)
     return known.where("lang_pred <> 'und' AND score >= 0.5").select(*docs.columns)
 

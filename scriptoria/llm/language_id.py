@@ -167,10 +167,10 @@ class Parser:
         return names, scores
 
 
-def train(rows: DataFrame, text_col: str, lang_col: str, per_label: int = 64, chars: int = 2_000, train_chars: int = 24_000) -> dict[str, str]:
+def train(rows: DataFrame, key_col: str, text_col: str, lang_col: str, per_label: int = 64, chars: int = 2_000, train_chars: int = 24_000) -> dict[str, str]:
     """Language -> training text, from a bounded sample of rows."""
     texts: dict[str, str] = {}
-    for lang, text in labelled_sample(rows, F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"), per_label, chars):
+    for lang, text in labelled_sample(rows, rows, F.col(f"`{key_col}`"), F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"), per_label, chars):
         if len(texts.get(lang, "")) < train_chars:
             texts[lang] = (texts.get(lang, "") + "\n" + text)[:train_chars]
     return {k: v for k, v in texts.items() if any(ch.isalpha() for ch in v)}

@@ -80,9 +80,9 @@ class Features:
         return index, value / math.sqrt(float(value @ value))
 
 
-def train(rows: DataFrame, text: Column, label: Column, per_label: int = 2_000, chars: int = 8_000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.0005, l2: float = 0.001) -> dict:
+def train(labels: DataFrame, docs: DataFrame, key: Column, label: Column, text: Column, per_label: int = 2_000, chars: int = 8_000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.0005, l2: float = 0.001) -> dict:
     """The model of label 1 against label 0: frequent words, weights and bias."""
-    sample = labelled_sample(rows, label.cast("int"), text, per_label, chars)
+    sample = labelled_sample(labels, docs, key, label.cast("int"), text, per_label, chars)
     documents = Counter(w for _, t in sample for w in set(t.lower().split()))
     frequent = frozenset(w for w, n in documents.items() if n >= max(5, 0.02 * len(sample)))
     features = Features(frequent)

@@ -16,7 +16,7 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language_id.train(docs.where(fold(F.col("doc_id"), 4) != 2), "text", "lang")
+    model = language_id.train(docs.where(fold(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
     found = language_id.identify(docs, model, ["doc_id"])
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
@@ -24,8 +24,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.where(fold(F.col("doc_id"), 3) != 1).join(labels, "doc_id")
-    model = quality_model.train(rows, F.col("text"), F.col("quality"))
+    model = quality_model.train(labels.where(fold(F.col("doc_id"), 3) != 1), docs, F.col("doc_id"), F.col("quality"), F.col("text"))
     found = quality_model.score(docs, model, ["doc_id"])
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 

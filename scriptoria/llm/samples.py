@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.session import cut_lineage
+
 MAX_LABELS = 256
 
 
@@ -13,16 +15,19 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def labelled_sample(rows: DataFrame, label: Column, text: Column, per_label: int, chars: int) -> list[tuple]:
-    """At most per_label (label, text start of at most chars) per label: the text of the
-    smallest hash in each of per_label hash buckets. Rows without label or text don't
-    count. At most MAX_LABELS labels are expected; more raise ValueError.
+def labelled_sample(labelled: DataFrame, docs: DataFrame, key: Column, label: Column, text: Column, per_label: int, chars: int) -> list[tuple]:
+    """At most per_label (label, text start of at most chars) per label, sorted.
 
-    The maximum that reaches the driver is labels * per_label * chars characters."""
-    t = rows.select(label.alias("label"), text.alias("text")).where("label is not null and text is not null")
-    t = t.withColumn("hash", F.xxhash64("text")).withColumn("bucket", F.pmod("hash", F.lit(per_label)))
-    best = t.groupBy("label", "bucket").agg(F.min_by(F.substring("text", 1, chars), "hash").alias("text"))
-    found = sorted(tuple(r) for r in best.select("label", "text").limit(MAX_LABELS * per_label + 1).collect())
-    if len({x[0] for x in found}) > MAX_LABELS or len(found) > MAX_LABELS * per_label:
+    Of each label the least key hash in each of per_label hash buckets is picked; the
+    picks (at most MAX_LABELS * per_label rows, checked) are broadcast to fetch their
+    texts, so no text is sorted or shuffled to choose. `labelled` has key and label,
+    `docs` key and text; they may be the same table. Rows without label or text don't
+    count. At most MAX_LABELS labels are expected; more raise ValueError."""
+    most = MAX_LABELS * per_label
+    hashed = labelled.select(label.alias("label"), F.xxhash64(key).alias("h")).where("label is not null")
+    picks = cut_lineage(hashed.groupBy("label", F.pmod("h", F.lit(per_label)).alias("bucket")).agg(F.min("h").alias("h")).select("label", "h").limit(most + 1))
+    if picks.count() > most or picks.select("label").distinct().count() > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
-    return found
+    texts = docs.select(F.xxhash64(key).alias("h"), F.substring(text, 1, chars).alias("text")).where("text is not null")
+    found = texts.join(F.broadcast(picks), "h").groupBy("label", "h").agg(F.min("text").alias("text"))
+    return sorted(tuple(r) for r in found.select("label", "text").collect())
