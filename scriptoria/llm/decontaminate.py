@@ -1,38 +1,42 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Items are normalised to words (lower case, letters and digits only). One pass over the
-documents finds, for each document and item that share a word n-gram, the shared grams
-and the document's words around them. The document frequency of every shared gram over
-all documents then ranks each item's grams; the most common quarter of them are not
-seeds. Pairs with at least one rare seed are aligned by Smith-Waterman (match 2,
-mismatch -1, gap -1); a pair counts if the score reaches `min_score` of the item's
-perfect score, which edited and paraphrased copies of most of a passage do.
+"""Benchmark decontamination: word-pair seeds that miss no pair, then Smith-Waterman alignment.
+
+Items are normalised to words (lower case, letters and digits only). A document holds an
+item if their Smith-Waterman score (match 2, mismatch -1, gap -1) reaches `min_score` of
+the item's perfect score, which edited and paraphrased copies of most of a passage do.
+
+The search gives what aligning every document with every item would give. Let an item
+have m words and T = 2 m min_score. An alignment of M matches that loses X reaches T only
+if X <= 2 M - T. Its M - 1 steps from one match to the next lose X in all, so at most X / 2
+of them lose two or more and at least T / 2 - 1 lose one or nothing. Such a step goes on
+by one or two words on either side. So the ordered pairs of words one or two apart are
+seeds: at least T / 2 - 1 places of the document start a pair that the item has too, and
+all lie in a run of M + X <= 3 m - T words. Only such runs, with that many words on either
+side, are aligned. Where T / 2 - 1 is no more than 0 (items of one or two words at 0.5),
+each common word is a seed.
 
 Items are taken in blocks of at most `block_chars` characters, so what is broadcast is
-bounded; documents are never collected, and only gram frequencies (at most as many as
-the block has grams) are joined back.
+bounded; each block is one pass over the documents, which are never collected or shuffled.
 
-Defined cases: null and empty texts match nothing; items with fewer words than n match
-nothing; items of equal text are matched each; repeated document rows count as one
-document (the same key) in the result; empty tables give an empty result.
+Defined cases: null and empty texts match nothing; items of equal text are matched each;
+short items follow the same rule, so at 0.5 an item of one or two words is held by each
+document with one of them; repeated document rows count as one document (the same key)
+in the result; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptoria.session import cut_lineage
-
 CACHE_ENTRIES = 400_000
 MATCH, MISMATCH, GAP = 2, 1, 1
 _STRIP = re.compile(r"[\W_]+")
@@ -57,13 +61,10 @@ def word_hashes(words: Words, text: str | None) -> tuple[np.ndarray, np.ndarray]
     return h[places], places
 
 
-def grams(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the runs of n words."""
-    if len(h) < n:
-        return np.zeros(0, dtype=np.uint64)
-    x = h[: len(h) - n + 1] * A
-    for k in range(1, n):
-        x = (x ^ (x >> np.uint64(29))) * B + h[k : len(h) - n + 1 + k]
+def pairs(h: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of the ordered pairs of words so far apart; of the words themselves for 0."""
+    x = h * A if apart == 0 else h[:-apart] * A
+    x = (x ^ (x >> np.uint64(29))) * B + (np.uint64(0) if apart == 0 else h[apart:])
     return x ^ (x >> np.uint64(32))
 
 
@@ -82,84 +83,92 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, *at
 
 
-def _hits(docs: DataFrame, items: list[tuple[object, str]], n: int, key_col: str, text_col: str, item_type: T.DataType) -> DataFrame:
-    """Per document and item with a shared gram: its grams, the words around and their places."""
-    schema = T.StructType([docs.schema[key_col], T.StructField("item", T.IntegerType()), T.StructField("grams", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))])
+class Seeds:
+    """Seed hashes of the items, and for each item its least score, how many places of a
+    document must start a seed, and in a run of how many words."""
+
+    def __init__(self, items: list[np.ndarray], min_score: float) -> None:
+        m = np.array([len(h) for h in items], dtype=np.int64)
+        self.least = np.array([max(1, math.ceil(min_score * MATCH * k - 1e-9)) for k in m], dtype=np.int64)
+        places = (self.least + 1) // 2 - 1
+        self.need, self.span = np.maximum(places, 1), np.maximum(3 * m - self.least, 1)
+        self.words = bool((places <= 0).any())
+        of = [np.unique(np.concatenate([pairs(h, 1), pairs(h, 2)] if n > 0 else [pairs(h, 0)])) for h, n in zip(items, places, strict=True)]
+        keys = np.concatenate([*of, np.zeros(0, dtype=np.uint64)])
+        order = np.argsort(keys, kind="stable")
+        self.items = np.repeat(np.arange(len(of)), [len(x) for x in of])[order]
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.start = np.append(first, len(keys)).astype(np.int64)
+        # most pairs of a document are refused by one look into this table
+        bits = min(24, max(10, (32 * len(self.keys)).bit_length()))
+        self.mask = np.uint64((1 << bits) - 1)
+        self.table = np.zeros(1 << bits, dtype=bool)
+        self.table[self.keys & self.mask] = True
+
+    def _found(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and places of the seeds among these hashes."""
+        at = np.flatnonzero(self.table[g & self.mask])
+        low = np.searchsorted(self.keys, g[at])
+        low[low == len(self.keys)] = 0
+        same = self.keys[low] == g[at] if len(self.keys) else np.zeros(0, dtype=bool)
+        at, low = at[same], low[same]
+        count = self.start[low + 1] - self.start[low]
+        first = np.repeat(self.start[low] - np.cumsum(count) + count, count)
+        return self.items[first + np.arange(len(first))], np.repeat(at, count)
+
+    def candidates(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Items that a document with these words may hold, and the words to align."""
+        found = [self._found(pairs(h, k)) for k in ((0, 1, 2) if self.words else (1, 2))]
+        width = len(h) + 1
+        hits = np.unique(np.concatenate([i * width + p for i, p in found]))
+        item, place = hits // width, hits % width
+        last = np.arange(len(hits)) + self.need[item] - 1
+        inside = np.flatnonzero(last < len(hits))
+        last = last[inside]
+        dense = inside[(item[last] == item[inside]) & (place[last] - place[inside] < self.span[item[inside]])]
+        out = []
+        for i in np.unique(item[dense]):
+            runs = dense[item[dense] == i]
+            mask = np.zeros(len(h) + 1, dtype=np.int64)
+            np.add.at(mask, np.maximum(place[runs] - self.span[i], 0), 1)
+            np.add.at(mask, np.minimum(place[runs + self.need[i] - 1] + self.span[i] + 1, len(h)), -1)
+            out.append((int(i), np.flatnonzero(np.cumsum(mask[:-1]) > 0)))
+        return out
+
+
+def _align(docs: DataFrame, items: list[tuple[object, str]], key_col: str, text_col: str, min_score: float, item_type: T.DataType) -> DataFrame:
+    """Per document row and item: score and the first and last word of the best alignment."""
+    schema = T.StructType([docs.schema[key_col], T.StructField("item_id", item_type), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
     own = Words()
     item_words = [word_hashes(own, t)[0] for _, t in items]
-    of = [grams(h, n) for h in item_words]
-    flat = np.concatenate([*of, np.zeros(0, dtype=np.uint64)])
-    who = np.repeat(np.arange(len(of)), [len(g) for g in of])
-    order = np.argsort(flat, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((flat[order], who[order], order, [len(h) for h in item_words]))
+    shared = docs.sparkSession.sparkContext.broadcast((Seeds(item_words, min_score), [i for i, _ in items], item_words))
+    item_arrow = pa.int64() if isinstance(item_type, T.LongType) else pa.int32() if isinstance(item_type, T.IntegerType) else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, who, index, lengths = shared.value
+        seeds, ids, item_words = shared.value
         words = Words()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, places = word_hashes(words, text.as_py())
-                g = grams(h, n)
-                low = np.searchsorted(keys, g)
-                hit = np.flatnonzero((low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] == g)) if len(keys) else []
-                found: dict[int, tuple[set, list]] = defaultdict(lambda: (set(), []))
-                for p in hit:
-                    k = low[p]
-                    while k < len(keys) and keys[k] == g[p]:
-                        item = found[int(who[k])]
-                        item[0].add(int(index[k]))
-                        item[1].append(int(p))
-                        k += 1
-                for item, (shared_grams, at) in found.items():
-                    m = lengths[item]
-                    mask = np.zeros(len(h) + 1, dtype=np.int64)
-                    starts = np.array(at)
-                    np.add.at(mask, np.maximum(starts - m, 0), 1)
-                    np.add.at(mask, np.minimum(starts + m + n, len(h)), -1)
-                    near = np.flatnonzero(np.cumsum(mask[:-1]) > 0)
-                    # a word that matches nothing stands where the windows break
-                    breaks = np.flatnonzero(np.diff(near) > 1) + 1
-                    out[0].append(key)
-                    out[1].append(item)
-                    out[2].append(sorted(shared_grams))
-                    out[3].append(np.insert(h[near].astype(np.int64), breaks, 0))
-                    out[4].append(np.insert(places[near].astype(np.int32), breaks, -1))
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                for item, near in seeds.candidates(h):
+                    a = item_words[item]
+                    # where the runs break stand so many words that match nothing that no alignment goes on
+                    breaks = np.repeat(np.flatnonzero(np.diff(near) > 1) + 1, MATCH * len(a))
+                    b, at = np.insert(h[near], breaks, 0), np.insert(places[near], breaks, -1)
+                    best, i, j = smith_waterman(a, b)
+                    if best >= seeds.least[item]:
+                        _, _, back = smith_waterman(a[:i][::-1], b[:j][::-1])
+                        for x, y in zip(out, (key, ids[item], best / (MATCH * len(a)), int(at[j - back]), int(at[j - 1])), strict=True):
+                            x.append(y)
+            kinds = [batch.schema.field(0).type, item_arrow, pa.float64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)], names=[f.name for f in schema.fields])
 
     return docs.select(F.col(f"`{key_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
-def _align(pairs: DataFrame, items: list[tuple[object, str]], key_col: str, min_score: float, item_type: T.DataType) -> DataFrame:
-    schema = T.StructType([pairs.schema[key_col], T.StructField("item_id", item_type), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
-    own = Words()
-    shared = pairs.sparkSession.sparkContext.broadcast([(i, word_hashes(own, t)[0].astype(np.int64)) for i, t in items])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, item, words, places in zip(*[c.to_pylist() if k < 2 else c for k, c in enumerate(batch.columns)], strict=True):
-                item_id, a = shared.value[item]
-                b = words.values.to_numpy(zero_copy_only=False)
-                best, i, j = smith_waterman(a, b)
-                if best >= min_score * MATCH * len(a):
-                    _, _, back = smith_waterman(a[:i][::-1], b[:j][::-1])
-                    at = places.values.to_numpy(zero_copy_only=False)
-                    for x, y in zip(out, (key, item_id, best / (MATCH * len(a)), int(at[j - back]), int(at[j - 1])), strict=True):
-                        x.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(out, kinds(batch), strict=True)], names=[f.name for f in schema.fields])
-
-    item_arrow = pa.int64() if isinstance(item_type, T.LongType) else pa.int32() if isinstance(item_type, T.IntegerType) else pa.string()
-
-    def kinds(batch: pa.RecordBatch) -> list:
-        return [batch.schema.field(0).type, item_arrow, pa.float64(), pa.int32(), pa.int32()]
-
-    return pairs.select(key_col, "item", "words", "places").mapInArrow(run, schema)
-
-
 def matches(
-    docs: DataFrame, items: DataFrame, key_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 5, min_score: float = 0.5, seed_share: float = 0.75, block_chars: int = 16_000_000
+    docs: DataFrame, items: DataFrame, key_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = 0.5, block_chars: int = 16_000_000
 ) -> DataFrame:
     """One row per document key and item it holds: score (1 for a whole exact copy) and
     the first and last of the document's words in the alignment. The item key is a
@@ -171,13 +180,7 @@ def matches(
     results = []
     for block in range(n_blocks):
         own = sorted(((r.i, r.t) for r in i.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect()), key=lambda r: (str(r[0]), r[1]))
-        hits = cut_lineage(_hits(docs, own, n, key_col, text_col, item_type))
-        frequency = hits.select("item", F.explode("grams").alias("gram")).groupBy("item", "gram").agg(F.count("*").alias("df"))
-        # at most as many rows as the block has grams
-        rank = frequency.withColumn("at", F.percent_rank().over(Window.partitionBy("item").orderBy("df")))
-        seeds = rank.where(F.col("at") <= seed_share).groupBy("item").agg(F.collect_list("gram").alias("seeds"))
-        pairs = hits.join(F.broadcast(seeds), "item").where(F.arrays_overlap("grams", "seeds"))
-        results.append(_align(pairs, own, key_col, min_score, item_type))
+        results.append(_align(docs, own, key_col, text_col, min_score, item_type))
     found = reduce(DataFrame.unionByName, results)
     best = found.groupBy(key_col, "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("b"))
     return best.select(key_col, "item_id", "b.score", "b.first_word", "b.last_word")

@@ -235,3 +235,37 @@ def test_decontamination(spark):
     assert (first.score, first.first_word, first.last_word) == (1.0, 50, 79)
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(df, it, block_chars=100).collect()} == {(r.doc_id, r.item_id) for r in got}
     assert decontaminate.matches(df.limit(0), it).count() == 0 and decontaminate.matches(df, it.limit(0)).count() == 0
+
+
+def test_decontamination_equals_aligning_every_pair(spark):
+    """Heavily edited copies, short items and items whose common pairs are all that is left."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [words(n) for n in (1, 2, 3, 4, 5, 9, 15, 15, 20, 27, 59)]
+    docs = []
+    for item in items * 12:
+        # up to every second word changed, dropped or followed by another
+        copy, share = [], rng.choice((0.1, 0.2, 0.33, 0.5))
+        for w in item:
+            edit = rng.random() < share
+            kind = rng.randrange(3)
+            copy += [w] if not edit else [rng.choice(vocabulary)] if kind == 0 else [] if kind == 1 else [w, rng.choice(vocabulary)]
+        docs.append(words(rng.randrange(60)) + copy + words(rng.randrange(200)))
+    for item in (items[6], items[9]):
+        docs.append(words(30) + [x if k % 5 else f"x{k}" for k, x in enumerate(item)])  # no run of five words is left
+        docs.append([x for w in item for x in (w, "and")])
+        docs.append(item[: len(item) // 2] + words(70) + item[len(item) // 2 :] + words(300) + item)
+    cache = decontaminate.Words()
+    hashes = lambda text: decontaminate.word_hashes(cache, text)[0]
+    for min_score in (0.5, 0.7):
+        want = {}
+        for (d, doc), (i, item) in ((x, y) for x in enumerate(docs) for y in enumerate(items)):
+            a, b = hashes(" ".join(item)), hashes(" ".join(doc))
+            best, p, q = decontaminate.smith_waterman(a, b)
+            if best / (2 * len(a)) >= min_score:
+                want[d, i] = (best / (2 * len(a)), q - decontaminate.smith_waterman(a[:p][::-1], b[:q][::-1])[2], q - 1)
+        df = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+        it = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+        got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.last_word) for r in decontaminate.matches(df, it, min_score=min_score).collect()}
+        assert got == want and len(want) > 80
