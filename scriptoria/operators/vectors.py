@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +37,56 @@ def knn(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], k:
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-def knn_join(queries: list[tuple], vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors (id, vector) of each query: (query_id, id, score, rank).
+def knn_join(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 2000) -> DataFrame:
+    """The k nearest vectors (id, vector) of each row of queries (id, vector), without the
+    query's own id: (query_id, id, score, rank), ties by id. Ids are bigints; null ids are
+    left out, vectors that are null, of another length or without a norm score 0.
 
-    queries, (id, vector) pairs, are a stated, small set. Each task ranks its own rows for
-    a query before the rows meet (Spark's window group limit), so a query moves at most k
-    rows from each task."""
-    spark = vectors.sparkSession
-    q = spark.createDataFrame(queries, "query_id long, q array<double>")
-    scored = vectors.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", cosine(F.col("q"), F.col("vector")).alias("score"))
+    Every query meets every vector. The queries are broadcast in blocks of about
+    `block_rows`, each one scan over the vectors; a task keeps the k best of its own rows
+    for a query, so no row is made for a pair and a query moves at most k rows from a task."""
+    cast = lambda df: df.select(F.col("id").cast("long"), F.col("vector").cast("array<double>")).where("id is not null")
+    q, v = cast(queries), cast(vectors)
+    n_blocks = max(1, -(-q.count() // block_rows))
+    blocks = [_nearest(v, q.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block), k) for block in range(n_blocks)]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, blocks).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score) of the k nearest rows of each task."""
+    rows = block.orderBy("id").collect()
+    shared = vectors.sparkSession.sparkContext.broadcast([(r.id, np.array(r.vector or [], dtype=np.float64)) for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = [(i, x, math.sqrt((x * x).sum())) for i, x in shared.value]
+        best = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in queries]
+        for batch in batches:
+            ids, lists = batch.column(0).to_numpy(), batch.column(1)
+            lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths) - lengths
+            matrices: dict[int, tuple] = {}
+            for n, (query_id, x, size) in enumerate(queries):
+                if len(x) not in matrices:
+                    at = np.flatnonzero(lengths == len(x))
+                    m = flat[starts[at, None] + np.arange(len(x))] if len(x) else np.zeros((len(at), 0))
+                    matrices[len(x)] = at, m, np.sqrt((m * m).sum(axis=1))
+                at, m, norms = matrices[len(x)]
+                score = np.zeros(len(ids))
+                # a sum for each row alone, so equal vectors have equal scores
+                score[at] = np.nan_to_num(np.divide((m * x).sum(axis=1), norms * size, out=np.zeros(len(at)), where=norms * size > 0))
+                held_scores, held_ids = best[n]
+                keep = ids != query_id
+                if keep.sum() > k:
+                    keep &= score >= np.partition(score[keep], -k)[-k]
+                s, i = np.concatenate([held_scores, score[keep]]), np.concatenate([held_ids, ids[keep]])
+                order = np.lexsort((i, -s))[:k]
+                best[n] = s[order], i[order]
+        counts = [len(i) for _, i in best]
+        columns = [np.repeat(np.array([i for i, _, _ in queries], dtype=np.int64), counts), np.concatenate([np.zeros(0, dtype=np.int64), *[i for _, i in best]]), np.concatenate([np.zeros(0), *[s for s, _ in best]])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+    return vectors.mapInArrow(run, "query_id long, id long, score double")
 
 
 def sparse_dot(postings: DataFrame, query: dict[str, float]) -> DataFrame:

@@ -197,8 +197,17 @@ def r21(spark, d):
 )
 def r21_join(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = [(i, _query_vector(spark, d, i)) for i in range(10)]
-    return vec.knn_join(queries, e, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+    return vec.knn_join(e.where("id < 10"), e, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    "r21_knn_join_all",
+    f"SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_SQL_COS} DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 5",
+)
+def r21_join_all(spark, d):
+    """The search join over every fiftieth row, so the queries grow with the table."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vec.knn_join(e.where("id % 50 = 0"), e, 5).select("query_id", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(

@@ -1,12 +1,14 @@
 """Text, retrieval, graph, evaluation and draft functions on literal fixtures."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as tx
 from scriptoria.operators import drafts, evaluation, graph, relational, retrieval, vectors
+from scriptoria.plans import registry
 from scriptoria.sources import readers, sinks
 
 
@@ -167,3 +169,27 @@ def test_upsert_keeps_the_richer_value(spark):
     new = spark.createDataFrame([(1, "", "new", 1), (2, "u", "new", 1)], "id int, title string, status string, n int")
     got = {r.id: tuple(r) for r in relational.upsert(old, new, "id", ("status",), "n").collect()}
     assert got == {1: (1, "t", "done", 2), 2: (2, "u", "new", 1)}
+
+
+def test_knn_join_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice((-1.0, 0.0, 0.5, 2.0)) for _ in range(3)]) for i in range(300)] + [(300, None), (301, [0.0, 0.0, 0.0]), (302, [1.0]), (None, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<float>").repartition(5)
+    size = lambda x: math.sqrt(sum(y * y for y in x))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (size(a) * size(b)) if a and b and len(a) == len(b) and size(a) * size(b) else 0.0
+    want = set()
+    for i, a in rows[:304:10] + rows[300:303]:
+        nearest = sorted((-round(cos(a, b), 9), j) for j, b in rows if j is not None and j != i)[:7]
+        want |= {(i, j, -s, n + 1) for n, (s, j) in enumerate(nearest)}
+    q = v.where("id % 10 = 0 or id >= 300")
+    for block_rows in (4, 2000):
+        got = vectors.knn_join(q, v, 7, block_rows).collect()
+        assert {(r.query_id, r.rank) for r in got} == {(x[0], x[3]) for x in want}
+        assert {(r.query_id, r.rank, round(r.score, 9) + 0.0) for r in got} == {(x[0], x[3], x[2] + 0.0) for x in want}
+    assert vectors.knn_join(q.limit(0), v, 7).count() == 0 and vectors.knn_join(q, v.limit(0), 7).count() == 0
+
+
+def test_search_join_takes_every_fiftieth_row(spark):
+    d = "/root/testdata/sf0.001"
+    want = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    assert {r.query_id for r in registry.queries()["r21_knn_join_all"](spark, d).collect()} == want
