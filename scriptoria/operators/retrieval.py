@@ -169,24 +169,34 @@ def ego_radial(neighbours: DataFrame) -> DataFrame:
     return d.select("id", "score", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
 
 
-def mmr(candidates: DataFrame, top_k: int, trade: float = 0.7, pool: int = 200) -> DataFrame:
+def mmr(candidates: DataFrame, top_k: int, trade: float = 0.7) -> DataFrame:
     """Greedy maximal marginal relevance within each `group` of (group, id, score,
-    concepts): Jaccard of concept sets against the chosen ones. It picks among the `pool`
-    best candidates of a group, as a reranker does; the choice is sequential by nature, and
-    the pool bounds one task's work."""
+    concepts): Jaccard of concept sets against the chosen ones, 0 <= trade <= 1. The choice
+    is sequential by nature and is made among all candidates. Only those that can't be
+    chosen are left out before: of one concept set, which is near alike to the chosen ones,
+    all but the top_k best; and those that even with nothing like them chosen come behind
+    the top_k best scores with their like chosen."""
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["score", "id"], ascending=[False, True])
-        left = [(r.id, r.score, set(r.concepts)) for r in rows.itertuples()]
-        chosen: list[tuple] = []
+        left = [[r.id, r.score, set(r.concepts), 0.0] for r in rows.itertuples()]
+        chosen: list = []
         while left and len(chosen) < top_k:
-            near = lambda s: max((len(s & c[2]) / len(s | c[2]) if s | c[2] else 0.0 for c in chosen), default=0.0)
-            best = max(range(len(left)), key=lambda i: (trade * left[i][1] - (1 - trade) * near(left[i][2]), -i))
-            chosen.append(left.pop(best))
+            best = left.pop(max(range(len(left)), key=lambda i: (trade * left[i][1] - (1 - trade) * left[i][3], -i)))
+            chosen.append(best[0])
+            for x in left:
+                both = len(x[2] | best[2])
+                x[3] = max(x[3], len(x[2] & best[2]) / both if both else 0.0)
         group = rows["group"].iloc[0]
-        return pd.DataFrame({"group": [group] * len(chosen), "id": [c[0] for c in chosen], "place": range(1, len(chosen) + 1)})
+        return pd.DataFrame({"group": [group] * len(chosen), "id": chosen, "place": range(1, len(chosen) + 1)})
 
     kinds = dict(candidates.dtypes)
-    place = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "id"))
-    best = candidates.withColumn("_place", place).where(F.col("_place") <= pool).drop("_place")
-    return best.groupBy("group").applyInPandas(choose, f"group {kinds['group']}, id {kinds['id']}, place int")
+    order = (F.desc("score"), F.asc("id"))
+    rows = candidates.select("group", "id", "score", "concepts", F.array_sort(F.array_distinct("concepts")).alias("_set"))
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("group", "_set").orderBy(*order))).where(F.col("_place") <= top_k)
+    top = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("group").orderBy(*order))).where(F.col("_rank") <= top_k)
+    # the score at rank top_k; none in smaller groups, which are kept whole
+    least = top.where(F.col("_rank") == top_k).select(F.col("group").alias("_group"), F.col("score").alias("_least"))
+    able = F.coalesce(trade * F.col("score") + (1 - trade) >= trade * F.col("_least") - 1e-9, F.lit(True))
+    kept = rows.join(least, F.col("group").eqNullSafe(F.col("_group")), "left").where(able).select("group", "id", "score", "concepts")
+    return kept.groupBy("group").applyInPandas(choose, f"group {kinds['group']}, id {kinds['id']}, place int")

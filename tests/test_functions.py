@@ -46,6 +46,23 @@ def test_mmr_promotes_the_distinct_one(spark):
     assert [r.id for r in retrieval.mmr(c, 3).orderBy("place").collect()] == ["a", "c", "b"]
 
 
+def test_mmr_chooses_among_all_candidates(spark):
+    rng = random.Random(6)
+    rows = [("hot", i, 1.0, ["x", "y"]) for i in range(250)] + [("hot", 999, 0.9, ["z"])]
+    rows += [("mixed", i, rng.random() ** 3, rng.sample("abcdefg", rng.randint(0, 4))) for i in range(600)] + [("few", i, i / 3, ["a"]) for i in range(3)]
+    want = set()
+    for g in ("hot", "mixed", "few"):
+        left, chosen = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])), []
+        while left and len(chosen) < 8:
+            near = lambda c: max((len({*c} & {*o[3]}) / len({*c} | {*o[3]}) if {*c} | {*o[3]} else 0.0 for o in chosen), default=0.0)
+            chosen.append(max(left, key=lambda r: 0.7 * r[2] - 0.3 * near(r[3])))
+            left.remove(chosen[-1])
+        want |= {(g, r[1], n + 1) for n, r in enumerate(chosen)}
+    got = retrieval.mmr(spark.createDataFrame(rows, "group string, id long, score double, concepts array<string>"), 8)
+    assert {tuple(r) for r in got.collect()} == want and ("hot", 999, 2) in want
+
+
+
 def test_cover_density():
     assert retrieval.cover_density([[0], [1]]) == pytest.approx(0.1)
     assert retrieval.cover_density([[0], [3]]) == pytest.approx(0.1 / 3)
