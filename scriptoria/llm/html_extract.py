@@ -30,18 +30,23 @@ from pyspark.sql import types as T
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|title|noscript|template|textarea|iframe|object|svg|math|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|title|noscript|template|textarea|iframe|svg|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 # HTML's void and inline elements; all others are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp label".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp label object "
+    "math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose merror mmultiscripts mprescripts none semantics annotation annotation-xml".split()
+)
 # The classifier's words.
 BOILER_TAGS = frozenset("nav footer aside menu dialog button fieldset".split())
 WEAK_TAGS = frozenset("header form".split())
@@ -54,6 +59,17 @@ BOILER_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content post entry story main prose".split())
 
 
+def _hides(rest: str) -> bool:
+    """Whether a tag's attributes hide it: hidden, aria-hidden=true or a style of display: none."""
+    if not _MAY_HIDE.search(rest):
+        return False
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 class _Element:
     __slots__ = ("depth", "key", "parent", "sign", "tag")
 
@@ -69,7 +85,7 @@ class _Element:
             for m in _NAMES.finditer(rest):
                 words.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
         bad, good = not words.isdisjoint(BOILER_WORDS), not words.isdisjoint(CONTENT_WORDS)
-        hidden = bool(rest) and bool(_HIDDEN.search(rest))
+        hidden = bool(rest) and _hides(rest)
         if tag in BOILER_TAGS or hidden or (bad and not good):
             self.sign = -4.0
         elif self.sign <= -4.0:

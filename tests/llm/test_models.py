@@ -269,3 +269,14 @@ def test_decontamination_equals_aligning_every_pair(spark):
         it = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
         got = {(r.doc_id, r.item_id): (r.score, r.first_word, r.last_word) for r in decontaminate.matches(df, it, min_score=min_score).collect()}
         assert got == want and len(want) > 80
+
+
+@pytest.mark.parametrize(("attributes", "hidden"), [('class="content overflow-hidden"', False), ('title="Hidden gems"', False), ('data-hidden="false"', False), ('aria-hidden="false"', False), ("hidden", True), ('aria-hidden="true"', True), ("style='color: red; display : none'", True)])
+def test_html_hides_only_what_is_hidden(attributes, hidden):
+    text = "a long enough sentence that any reader would take for the content of this page " * 3
+    assert (html_extract.main_text(f"<body><div {attributes}><p>{text}</p></div></body>") == "") == hidden
+
+
+def test_html_keeps_text_of_math_and_object():
+    page = "<article><p>We know that <math><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow></math> holds, as <object data='x'>this figure shows</object> here.</p></article>"
+    assert html_extract.main_text(page) == "We know that E=m holds, as this figure shows here."
