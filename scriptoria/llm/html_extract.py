@@ -1,11 +1,26 @@
 """HTML extraction by minimum cut.
 
-A page is split into text blocks at block-level tags. Every block gets a score from a
-small linear classifier (tags, class and id words, roles, link share, length); positive
-scores become the capacity from the source (content), negative ones the capacity to the
-sink (boilerplate). Neighbours in page order and neighbours under the same element are
-joined by smoothness edges, the stronger the nearer they are in the DOM. The blocks on
-the source's side of the minimum cut are the article.
+A page is split into text blocks at block-level tags. The nodes of the graph are these
+blocks and the elements whose tag, class, id or role says something ("evidence").
+
+Terminals: a block's capacity is the log odds that a logistic classifier gives to its own
+text and tag (length, link share, punctuation, tag, the like of its parent), fitted on the
+labelled pages of html_fixtures; it knows nothing of the containers. An element's capacity
+is its evidence. What the operator's contract excludes by name (menus, footers, sidebars,
+adverts, notices, forms, comments, hidden parts) has infinite capacity to the sink.
+Edges, in the same unit: neighbours in page order, the stronger the nearer they are in the
+DOM; neighbours under one grandparent; a block or element and the nearest element with
+evidence above it. The blocks on the source's side of the minimum cut are the article. So
+a one-word paragraph, boilerplate by itself, is kept between the paragraphs of an article,
+and a long advert is dropped with the sidebar around it.
+
+Nodes whose capacity exceeds all their edges are on one side of every minimum cut; they
+are settled first, their edges move into their neighbours' capacities, and only what is
+left goes through the maximum flow.
+
+A class or id is read as a compound of which the last word says what it is: post-comments
+are comments, a legal-analysis is an analysis. Before words for any container (comment-list,
+footer-inner) the word before decides.
 
 Decoding: scripts, styles, templates, titles, comments and markup go; character
 references are decoded once; white space inside a block becomes one space; blocks are
@@ -13,7 +28,8 @@ joined in page order by one space. Nothing is capped.
 
 Defined cases: a null, empty or blank page has the empty text; unclosed tags end with
 their parents, unclosed comments and raw elements at the page's end; a "<" that starts no
-tag is text; repeated rows are extracted each; other input columns pass by their keys.
+tag is text; equal capacities go to the sink; repeated rows are extracted each; other
+input columns pass by their keys, those that clash with a result's name by theirs alone.
 """
 
 from __future__ import annotations
@@ -22,12 +38,16 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptoria.llm import html_fixtures
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|title|noscript|template|textarea|iframe|svg|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -39,7 +59,7 @@ _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _MAY_HIDE = re.compile(r"hidden|display", re.I)
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 # HTML's void and inline elements; all others are blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,16 +67,26 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img ruby rt rp label object "
     "math mrow mi mo mn ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mphantom menclose merror mmultiscripts mprescripts none semantics annotation annotation-xml".split()
 )
-# The classifier's words.
+#: Elements that are boilerplate or content by their tag.
 BOILER_TAGS = frozenset("nav footer aside menu dialog button fieldset".split())
-WEAK_TAGS = frozenset("header form".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar nav navbar navigation menu breadcrumb breadcrumbs "
-    "footer masthead comment comments respond reply replies disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search widget pager pagination copyright legal disclaimer "
-    "complementary contentinfo navigation toolbar skip".split()
+#: Words for boilerplate, as the head of a name.
+BOILER_HEADS = frozenset(
+    "ad ads adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal nav navbar navigation menu breadcrumb breadcrumbs "
+    "footer masthead sidebar comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search widget pager pagination copyright legal disclaimer "
+    "complementary contentinfo toolbar skip".split()
 )
+#: Those of them that also decide before a word for any container.
+BOILER_FIRST = frozenset("ad ads advert advertisement sponsor sponsored promo banner cookie cookies nav navbar navigation menu breadcrumb breadcrumbs footer masthead sidebar comment comments disqus share social related newsletter popup modal widget".split())
+CONTAINERS = frozenset("content body text list area wrap wrapper container inner outer section box block item items link links bar title main slot zone panel form holder group region row col column left right top bottom header unit thread".split())
 CONTENT_WORDS = frozenset("article content post entry story main prose".split())
+#: Names that begin with these speak of a page's state.
+STATES = frozenset("no not with without has is hide show".split())
+SITE_WORDS = frozenset("site page top global".split())
+#: Capacities in tenths of log odds, in the unit of the classifier.
+HARD = 1 << 30
+EVIDENCE, HEADER, MOST = 80, -60, 60
+NEAR, ASIDE, UNDER, OVER = 60, 8, 90, 40
 
 
 def _hides(rest: str) -> bool:
@@ -70,30 +100,52 @@ def _hides(rest: str) -> bool:
     return False
 
 
+def _says(name: str) -> int:
+    """What one class, id or role says: HARD below 0, EVIDENCE, HEADER or 0."""
+    parts = [p.lower() for p in _PARTS.findall(name)]
+    parts = [p for p in parts if len(p) > 1]
+    if not parts or parts[0] in STATES:
+        return 0
+    head, before = parts[-1], parts[:-1]
+    if head in BOILER_HEADS or (head in CONTAINERS and not BOILER_FIRST.isdisjoint(before)):
+        return -HARD
+    if head in ("header", "head") and not SITE_WORDS.isdisjoint(before):
+        return -HARD
+    if head in CONTENT_WORDS or (head in CONTAINERS and not CONTENT_WORDS.isdisjoint(before)):
+        return EVIDENCE
+    return 0
+
+
 class _Element:
-    __slots__ = ("depth", "key", "parent", "sign", "tag")
+    __slots__ = ("depth", "evidence", "form", "hard", "links", "near", "node", "parent", "tag", "title", "words")
 
     def __init__(self, tag: str, parent: _Element | None, rest: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.sign = parent.sign if parent else 0.0  # of the nearest ancestors that say something
+        self.words = self.links = 0  # of the blocks right under it
+        self.node, self.evidence, self.hard, self.title = -1, 0, bool(parent and parent.hard), False
+        self.near = parent.near if parent else None  # the nearest with evidence, itself included
+        self.form = self if tag == "form" else parent.form if parent else None
         if tag in ("html", "body", "head"):
-            self.sign = 0.0
             return
-        words: set[str] = set()
+        if tag in ("h1", "article", "main"):
+            e = parent
+            while e is not None and not e.title:
+                e.title = True
+                e = e.parent
+        said = [0]
         if rest and "=" in rest:
-            for m in _NAMES.finditer(rest):
-                words.update(_WORDS.findall((m[2] or m[3] or m[4] or "").lower()))
-        bad, good = not words.isdisjoint(BOILER_WORDS), not words.isdisjoint(CONTENT_WORDS)
-        hidden = bool(rest) and _hides(rest)
-        if tag in BOILER_TAGS or hidden or (bad and not good):
-            self.sign = -4.0
-        elif self.sign <= -4.0:
-            pass  # nothing inside boilerplate is content
-        elif tag in CONTENT_TAGS or (good and not bad):
-            self.sign = 3.0
-        elif tag in WEAK_TAGS:
-            self.sign = min(self.sign, 1.0) if self.sign > 0 and tag == "header" else -3.0
+            said += [_says(name) for m in _NAMES.finditer(rest) for name in (m[2] or m[3] or m[4] or "").split()]
+        if tag in BOILER_TAGS or min(said) < 0 or (rest and _hides(rest)):
+            self.hard = True
+        elif tag in CONTENT_TAGS or max(said) > 0:
+            self.evidence, self.near = EVIDENCE, self
+        elif tag == "header" and self.near is None:
+            self.evidence, self.near = HEADER, self
+
+    def excluded(self) -> bool:
+        """Whether the contract excludes it: a form that holds the page's title doesn't count."""
+        return self.hard or (self.form is not None and not self.form.title)
 
 
 def blocks_of(page: str) -> list[tuple[str, _Element, float]]:
@@ -173,19 +225,53 @@ def _links(e: _Element | None) -> int:
     return n + (e is not None and e.parent is not None and e.parent.tag == "a")
 
 
-def score(text: str, parent: _Element, linked: float) -> int:
-    """The classifier's cost difference: above 0 for content, in tenths."""
-    words = text.count(" ") + 1
-    value = parent.sign
-    if linked > 0.5:
-        value -= 1.5
-    if parent.sign == 0:
-        value += 1.5 if words >= 25 else 0.8 if words >= 10 else -0.8
-        if parent.tag in ("p", "h1", "blockquote", "pre") and linked <= 0.5:
-            value += 1.0
-        if parent.tag in ("li", "td", "body", "html"):
-            value -= 0.5
-    return round(10 * value)
+_TAGS = {"p": 0, "h1": 1, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "li": 3, "dd": 3, "dt": 3, "td": 4, "th": 4, "blockquote": 5, "pre": 5}
+_SIGNS = re.compile(r"[©|»«·›→•]")
+_ENDS = frozenset(".?!:;\"”…")
+_ONE_HOT = [tuple(float(k == t) for k in range(7)) for t in range(7)]
+N_FEATURES = 18
+
+
+def features(blocks: list[tuple[str, _Element, float]]) -> np.ndarray:
+    """(blocks, N_FEATURES): what a block's own text, its tag and its parent's text are like."""
+    words = [text.count(" ") + 1 for text, _, _ in blocks]
+    for (_, parent, linked), n in zip(blocks, words, strict=True):
+        parent.words += n
+        parent.links += n * linked
+    rows = [
+        (1.0, n, n >= 10, n >= 25, linked, linked > 0.5, text[-1] in _ENDS, (text.count(",") + text.count(". ")) / n, _SIGNS.search(text) is not None, *_ONE_HOT[_TAGS.get(parent.tag, 6)], parent.words, parent.links / parent.words)
+        for (text, parent, linked), n in zip(blocks, words, strict=True)
+    ]
+    x = np.array(rows, dtype=np.float64)
+    x[:, 1] = np.minimum(5.0, np.log(x[:, 1]))
+    x[:, 7] = np.minimum(3.0, 10.0 * x[:, 7])
+    x[:, 16] = np.minimum(6.0, np.log(x[:, 16]))
+    return x
+
+
+@cache
+def weights() -> tuple[float, ...]:
+    """The classifier: logistic regression on the fixture pages by Newton's steps, with a
+    small ridge, on the blocks that the contract doesn't exclude. It takes a second and gives the same weights everywhere."""
+    xs, ys = [], []
+    for page in html_fixtures.pages():
+        blocks = blocks_of(page)
+        open_ = [not parent.excluded() for _, parent, _ in blocks]
+        xs.append(features(blocks)[open_])
+        ys += [html_fixtures.is_content(b[0]) for b, o in zip(blocks, open_, strict=True) if o]
+    x, y, w = np.concatenate(xs), np.array(ys, dtype=np.float64), np.zeros(N_FEATURES)
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(N_FEATURES), x.T @ (y - p) - w)
+    return tuple(w.tolist())
+
+
+def scores(blocks: list[tuple[str, _Element, float]], fitted: tuple[float, ...] | None = None) -> list[int]:
+    """The classifier's log odds for content in tenths, at most MOST either way."""
+    if not blocks:
+        return []
+    odds = np.clip(np.rint(10 * (features(blocks) @ np.array(fitted or weights()))), -MOST, MOST)
+    return odds.astype(np.int64).tolist()
 
 
 def distance(a: _Element, b: _Element) -> int:
@@ -200,9 +286,58 @@ def distance(a: _Element, b: _Element) -> int:
     return n
 
 
-def source_side(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Whether each node is on the source's side of the minimum cut: maximum flow by
-    blocking flows over the level graph."""
+def settle(capacity: list[int], edges: list[tuple[int, ...]]) -> list[bool | None]:
+    """The side of each node that the capacities settle, None for the others, whose
+    capacities are changed to what the settled neighbours' edges add."""
+    n = len(capacity)
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+    spend = [[0, 0] for _ in range(n)]  # what a node may pay on the source's side, on the sink's
+    for a, b, there, *back in edges:
+        back = back[0] if back else there
+        out[a].append((b, there, back))
+        out[b].append((a, back, there))
+        spend[a][0] += there
+        spend[a][1] += back
+        spend[b][0] += back
+        spend[b][1] += there
+    side: list[bool | None] = [None] * n
+    queue = deque(range(n))
+    while queue:
+        v = queue.popleft()
+        if side[v] is not None:
+            continue
+        if capacity[v] > 0 and capacity[v] >= spend[v][0]:
+            side[v] = True
+        elif capacity[v] <= 0 and -capacity[v] >= spend[v][1]:
+            side[v] = False
+        else:
+            continue
+        for u, there, back in out[v]:
+            if side[u] is None:
+                capacity[u] += there if side[v] else -back
+                spend[u][0] -= back
+                spend[u][1] -= there
+                queue.append(u)
+    return side
+
+
+def source_side(scores: list[int], edges: list[tuple[int, ...]]) -> list[bool]:
+    """Whether each node is on the source's side of the minimum cut. An edge (a, b, there,
+    back) costs `there` if a is on the source's side and b is not, and `back` (if not given,
+    as much) the other way round."""
+    capacity = list(scores)
+    side = settle(capacity, edges)
+    left = [v for v, s in enumerate(side) if s is None]
+    if left:
+        at = {v: k for k, v in enumerate(left)}
+        inner = [(at[e[0]], at[e[1]], *e[2:]) for e in edges if e[0] in at and e[1] in at]
+        for v, s in zip(left, _maximum_flow([capacity[v] for v in left], inner), strict=True):
+            side[v] = s
+    return [bool(s) for s in side]
+
+
+def _maximum_flow(scores: list[int], edges: list[tuple[int, ...]]) -> list[bool]:
+    """The source's side by blocking flows over the level graph."""
     n = len(scores)
     source, sink = n, n + 1
     to: list[int] = []
@@ -220,8 +355,8 @@ def source_side(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
             add(source, v, s, 0)
         elif s < 0:
             add(v, sink, -s, 0)
-    for a, b, w in edges:
-        add(a, b, w, w)
+    for a, b, there, *back in edges:
+        add(a, b, there, back[0] if back else there)
     while True:
         level = [-1] * (n + 2)
         level[source] = 0
@@ -262,40 +397,47 @@ def source_side(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
                 v = to[path.pop() ^ 1]
 
 
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    # neighbours under one element with scores of one sign are one node
-    scores: list[int] = []
-    parents: list[_Element] = []
-    node: list[int] = []
-    for text, parent, linked in blocks:
-        s = score(text, parent, linked)
-        if parents and parents[-1] is parent and (s > 0) == (scores[-1] > 0) and (s < 0) == (scores[-1] < 0):
-            scores[-1] += s
-        else:
-            scores.append(s)
-            parents.append(parent)
-        node.append(len(scores) - 1)
-    edges, seen = [], {}
+def graph(blocks: list[tuple[str, _Element, float]], fitted: tuple[float, ...] | None = None) -> tuple[list[int], list[tuple[int, ...]]]:
+    """Capacities and edges: the blocks first, then the elements with evidence."""
+    capacity = scores(blocks, fitted)
+    edges: list[tuple[int, ...]] = []
+    last_under: dict[int, int] = {}
+    parents = [parent for _, parent, _ in blocks]
     for v, p in enumerate(parents):
+        if p.excluded():
+            capacity[v] = -HARD
+        else:
+            below, e = v, p.near
+            while e is not None:
+                new = e.node < 0
+                if new:
+                    e.node = len(capacity)
+                    capacity.append(e.evidence)
+                edges.append((e.node, below, UNDER, OVER))
+                below, e = e.node, e.parent.near if new and e.parent else None
         if v:
-            edges.append((v - 1, v, max(1, 8 - 2 * distance(parents[v - 1], p))))
-        above = p.parent or p
-        if id(above) in seen and seen[id(above)] != v - 1:
-            edges.append((seen[id(above)], v, 3))
-        seen[id(above)] = v
-    kept = source_side(scores, edges)
-    return " ".join(b[0] for b, k in zip(blocks, node, strict=True) if kept[k])
+            edges.append((v - 1, v, max(1, NEAR // (1 + distance(parents[v - 1], p)))))
+        above = id(p.parent or p)
+        if above in last_under and last_under[above] != v - 1:
+            edges.append((last_under[above], v, ASIDE))
+        last_under[above] = v
+    return capacity, edges
+
+
+def main_text(page: str | None, fitted: tuple[float, ...] | None = None) -> str:
+    blocks = blocks_of(page or "")
+    kept = source_side(*graph(blocks, fitted))
+    return " ".join(b[0] for b, k in zip(blocks, kept, strict=False) if k)
 
 
 def extract(pages: DataFrame, key_cols: list[str], html_col: str = "html") -> DataFrame:
     """Key columns, text and n_chars (code points) of every page."""
     schema = T.StructType([pages.schema[k] for k in key_cols] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    n = len(key_cols)
+    n, fitted = len(key_cols), weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(n)]
+            texts = [main_text(x.as_py(), fitted) for x in batch.column(n)]
             columns = [*batch.columns[:n], pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 

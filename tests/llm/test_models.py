@@ -280,3 +280,63 @@ def test_html_hides_only_what_is_hidden(attributes, hidden):
 def test_html_keeps_text_of_math_and_object():
     page = "<article><p>We know that <math><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow></math> holds, as <object data='x'>this figure shows</object> here.</p></article>"
     assert html_extract.main_text(page) == "We know that E=m holds, as this figure shows here."
+
+
+LONG = "a long enough sentence that any reader would take for the content of this page, is it not? " * 2
+
+
+@pytest.mark.parametrize("name", ["post-comments", "entry-footer", "article-sidebar", "post-share", "commentList", "ad-300x250", "cookie-notice", "site-header"])
+def test_html_drops_compounds_by_their_head(name):
+    assert html_extract.main_text(f"<body><article><p>{LONG}</p><div class='{name}'><p>{LONG}No more.</p></div></article></body>") == LONG.strip()
+
+
+@pytest.mark.parametrize("name", ["discussion", "legal-analysis", "related-work", "with-sidebar", "social-history", "content-area"])
+def test_html_keeps_sections_named_like_boilerplate(name):
+    assert html_extract.main_text(f"<body><article><section id='{name}'><h2>Head</h2><p>{LONG}</p></section></article></body>") == "Head " + LONG.strip()
+
+
+def test_neighbours_flip_a_label():
+    """By its own score the word is boilerplate; between paragraphs, or in an article, it is kept."""
+    page = f"<body><div><p>{LONG}</p><div>Of</div><p>{LONG}</p></div><div><ul><li><a href='/'>Of</a></li></ul></div></body>"
+    blocks = html_extract.blocks_of(page)
+    own = html_extract.scores(blocks)
+    assert own[0] > 0 > own[1] and own[2] > 0 > own[3]
+    assert html_extract.main_text(page) == f"{LONG.strip()} Of {LONG.strip()}"
+    inside = "<article><div><a href='/'>See</a></div></article>"
+    assert html_extract.scores(html_extract.blocks_of(inside))[0] < 0 and html_extract.main_text(f"<body>{inside}<div><a href='/'>See</a></div></body>") == "See"
+
+
+def test_classifier_and_cut_on_unseen_fixture_pages():
+    from scriptoria.llm import html_fixtures
+
+    wrong = alone = total = 0
+    for page in html_fixtures.pages(100, seed=991):
+        blocks = html_extract.blocks_of(page)
+        truth = [html_fixtures.is_content(text) for text, _, _ in blocks]
+        alone += sum((s > 0) != t for s, t in zip(html_extract.scores(blocks), truth, strict=True))
+        blocks = html_extract.blocks_of(page)
+        wrong += sum(k != t for k, t in zip(html_extract.source_side(*html_extract.graph(blocks)), truth, strict=False))
+        total += len(blocks)
+    assert total > 1500 and wrong <= 0.015 * total and 2 * wrong < alone
+
+
+def test_settled_nodes_keep_the_cut_minimal():
+    """Directed edges, some capacities greater than all edges of their node."""
+    rng = random.Random(6)
+    for _ in range(200):
+        n = rng.randint(1, 7)
+        capacity = [rng.choice((-40, -9, -3, 0, 3, 9, 40)) for _ in range(n)]
+        edges = [(a, b, rng.randint(0, 6), rng.randint(0, 6)) for a in range(n) for b in range(a) if rng.random() < 0.6]
+
+        def cost(side, capacity=capacity, edges=edges):
+            return sum(max(0, s) if not k else max(0, -s) for s, k in zip(capacity, side, strict=True)) + sum(there if side[a] and not side[b] else back if side[b] and not side[a] else 0 for a, b, there, back in edges)
+
+        assert cost(html_extract.source_side(capacity, edges)) == min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+
+
+def test_html_long_deep_and_repeated(spark):
+    deep = "<div>" * 20_000 + f"<p>{LONG}"
+    assert html_extract.main_text(deep) == LONG.strip()
+    assert html_extract.main_text(f"<article>{'<p>Of.</p>' * 20_000}</article>") == " ".join(["Of."] * 20_000)
+    df = spark.createDataFrame([(1, "<article><p>x</p></article>", "t", 5)] * 2, "page_id long, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_extract.extract(df, ["page_id"]).collect()] == [(1, "x", 1)] * 2
