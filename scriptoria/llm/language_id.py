@@ -7,17 +7,24 @@ its text's length, are fewest per character wins. The automata's transitions lie
 dense table, and thousands of text segments walk through it in step, one gather per
 character, language and segment.
 
-Texts are lower-cased; every run of characters that aren't letters is one space. Texts
-are parsed whole, in segments of SEGMENT characters; a segment's first phrase starts
-anew, for all languages alike.
+Texts are lower-cased; every run of characters that aren't letters is one space. Every
+letter of the training text has its own symbol, whatever their number: the transitions of
+the 61 most frequent lie in the dense table, those of the others in a sorted list of
+(state, letter). A letter that no training text has is a phrase by itself everywhere.
 
-Training text per language is a bounded sample (per_label documents of at most chars
-characters, cut to train_chars in all).
+A text's segments of SEGMENT characters are walked side by side, each as if a phrase
+began there; then each is walked again from the state in which the segment before ended,
+until both walks are in the same state, and its count is put right. That is repeated while
+a segment's end changes, so the phrases are those of one walk over the whole text.
+
+Training text per language is a bounded sample, chosen by hash (per_label documents of at
+most chars characters, cut to train_chars in all, of the max_labels most frequent labels).
 
 Defined cases: a null text or one without letters is `und` with score 0; ties go to the
 language with more training text, then to the lesser name; rows with a null label or
-text don't train; without any training rows everything is `und`; repeated rows are
-predicted each; other input columns are not read.
+text don't train; of rows that repeat a key only those with the label train; without any
+training rows everything is `und`; repeated rows are predicted each; other input columns
+are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +42,12 @@ from scriptoria.llm.samples import labelled_sample
 
 SEGMENT = 512
 SPACE, OTHER, PAD, FIRST = 0, 1, 2, 3
-MAX_LETTERS = 61  # so that the alphabet has 64 symbols
+DENSE = 64  # symbols of the dense table
 FLAG = 1 << 30
 
 
 class Alphabet:
-    """Code point -> symbol for the most frequent letters of the training text."""
+    """Code point -> symbol for all letters of the training text, the most frequent first."""
 
     def __init__(self, texts: list[str]):
         counts: dict[str, int] = {}
@@ -48,11 +55,11 @@ class Alphabet:
             for ch in t.lower():
                 if ch.isalpha():
                     counts[ch] = counts.get(ch, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[:MAX_LETTERS]
-        table = np.fromiter((OTHER if chr(i).isalpha() else SPACE for i in range(0x110000)), dtype=np.uint8, count=0x110000)
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
+        table = np.fromiter((OTHER if chr(i).isalpha() else SPACE for i in range(0x110000)), dtype=np.int32, count=0x110000)
         for k, ch in enumerate(letters):
             table[ord(ch)] = FIRST + k
-        self.table, self.size = table, 64
+        self.table, self.size = table, max(DENSE, FIRST + len(letters))
 
     def symbols(self, text: str) -> np.ndarray:
         """The text's symbols with runs of SPACE as one, without leading or closing SPACE."""
@@ -65,8 +72,8 @@ class Alphabet:
         return s[:-1] if len(s) and s[-1] == SPACE else s
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transitions (states, size) of the suffix automaton; -1 where there is none."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the suffix automaton; state 0 is the root."""
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -92,68 +99,122 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     follow[p][c] = copy
                     p = link[p]
         last = now
-    table = np.full((len(follow), size), -1, dtype=np.int64)
-    for s, f in enumerate(follow):
-        for c, to in f.items():
-            table[s, c] = to
-    return table
+    return follow
 
 
 class Parser:
-    """Automata of all languages in one flat table of row offsets; a value with FLAG
-    ends a phrase and stands in the state after the next one's first symbol."""
+    """Automata of all languages in one flat table of row offsets. A value with FLAG begins
+    a phrase with this symbol and stands in the state after it; at the root (between phrases)
+    every symbol does, and a symbol that the language lacks leads back there."""
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts, key=lambda n: (-len(texts[n]), n))
         self.alphabet = Alphabet(list(texts.values()))
-        size, offset, tables, self.roots = self.alphabet.size, 0, [], []
-        self.weights = []
+        self.rare = self.alphabet.size - DENSE
+        offset, tables, self.roots, self.weights, keys, targets, self.starts = 0, [], [], [], [], [], []
         for n in self.names:
             symbols = self.alphabet.symbols(texts[n])
-            t = suffix_automaton([int(x) for x in symbols if x != OTHER], size)
-            own = np.arange(len(t))[:, None]
-            start = np.where(t[0] < 0, 0, t[0])[None, :] * size + offset + FLAG
-            flat = np.where(t < 0, start, t * size + offset)
-            flat[:, PAD] = (own * size + offset)[:, 0]
-            tables.append(flat.astype(np.int32).ravel())
+            follow = suffix_automaton(symbols.tolist())
+            first = {c: to * DENSE + offset for c, to in follow[0].items()}
+            row = np.array([first.get(c, offset) for c in range(DENSE)], dtype=np.int64) + FLAG
+            table = np.tile(row, (len(follow), 1))
+            for s, f in enumerate(follow[1:], 1):
+                for c, to in f.items():
+                    if c < DENSE:
+                        table[s, c] = to * DENSE + offset
+                    else:
+                        keys.append((s + offset // DENSE) * self.rare + c - DENSE)
+                        targets.append(to * DENSE + offset)
+            table[:, PAD] = np.arange(len(follow)) * DENSE + offset
+            tables.append(table.astype(np.int32).ravel())
             self.roots.append(offset)
+            self.starts.append(np.array([first.get(c + DENSE, offset) for c in range(self.rare)], dtype=np.int32) + np.int32(FLAG))
             self.weights.append(math.log2(max(2, len(symbols))))
-            offset += len(t) * size
+            offset += len(follow) * DENSE
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.keys, self.targets = np.array(keys, dtype=np.int64)[order], np.array(targets, dtype=np.int32)[order]
         self.table = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32)
 
+    def _step(self, k: int, state: np.ndarray, symbol: np.ndarray, rare: bool) -> np.ndarray:
+        """Where language k's states go with these symbols; with FLAG where a phrase begins."""
+        if not rare:
+            return self.table.take(state + symbol)
+        at = np.flatnonzero(symbol >= DENSE)
+        to = self.table.take(state + np.where(symbol < DENSE, symbol, OTHER))
+        c = symbol[at].astype(np.int64) - DENSE
+        key = (state[at] // DENSE).astype(np.int64) * self.rare + c
+        low = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        found = self.keys[low] == key if len(self.keys) else np.zeros(len(at), dtype=bool)
+        to[at] = np.where(found, self.targets[low] if len(self.keys) else 0, self.starts[k][c])
+        return to
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages): phrases of each text's symbols in each language."""
         counts = np.zeros((len(texts), len(self.names)), dtype=np.int64)
-        owner = np.repeat(np.arange(len(texts)), [-(-len(t) // SEGMENT) for t in texts])
+        parts = np.array([-(-len(t) // SEGMENT) for t in texts], dtype=np.int64)
+        owner = np.repeat(np.arange(len(texts)), parts)
         if not len(owner):
             return counts
-        block = np.full((len(owner), SEGMENT), PAD, dtype=np.uint8)
+        n = len(owner)
+        block = np.full((n, SEGMENT), PAD, dtype=np.int32)
+        sizes = np.full(n, SEGMENT, dtype=np.int64)
         row = 0
-        lengths = []
-        for t in texts:
-            k = -(-len(t) // SEGMENT)
-            block[row : row + k].reshape(-1)[: len(t)] = t
-            lengths += [SEGMENT] * (k - 1) + [len(t) - SEGMENT * (k - 1)] * (k > 0)
-            row += k
-        order = np.argsort(-np.array(lengths), kind="stable")
-        sizes = np.array(lengths)[order]
+        for t, p in zip(texts, parts.tolist(), strict=True):
+            block[row : row + p].reshape(-1)[: len(t)] = t
+            if p:
+                sizes[row + p - 1] = len(t) - SEGMENT * (p - 1)
+            row += p
+        later = np.append(False, owner[1:] == owner[:-1])  # segments that go on from the one before
+        order = np.argsort(-sizes, kind="stable")
         columns = np.ascontiguousarray(block[order].T)
-        alive = np.searchsorted(-sizes, -np.arange(SEGMENT), side="left")  # segments longer than the step
+        rare = (columns >= DENSE).any(axis=1)
+        alive = np.searchsorted(-sizes[order], -np.arange(SEGMENT), side="left")  # segments longer than the step
         for k, root in enumerate(self.roots):
-            state = np.full(len(owner), root, dtype=np.int32)
-            ended = np.ones(len(owner), dtype=np.int32)
-            for step in range(int(sizes[0])):
-                n = alive[step]
-                s = state[:n]
-                s += columns[step, :n]
-                to = self.table.take(s)
-                ended[:n] += to >> 30
-                np.bitwise_and(to, FLAG - 1, out=s)
-            np.add.at(counts[:, k], owner[order], ended)
+            state = np.full(n, root, dtype=np.int32)
+            begun = np.zeros(n, dtype=np.int32)
+            for step in range(int(sizes.max())):
+                m = alive[step]
+                to = self._step(k, state[:m], columns[step, :m], rare[step])
+                begun[:m] += to >> 30
+                np.bitwise_and(to, FLAG - 1, out=state[:m])
+            alone = np.empty(n, dtype=np.int32)
+            alone[order] = state
+            found = np.empty(n, dtype=np.int64)
+            found[order] = begun
+            ends, more = alone.copy(), np.zeros(n, dtype=np.int64)
+            todo = np.flatnonzero(later)
+            while len(todo):
+                ends_now, more_now = self._again(k, root, block, sizes, todo, ends[todo - 1], alone[todo])
+                changed = ends_now != ends[todo]
+                ends[todo], more[todo] = ends_now, more_now
+                todo = todo[changed] + 1
+                todo = todo[todo < n]
+                todo = todo[later[todo]]
+            np.add.at(counts[:, k], owner, found + more)
         return counts
 
+    def _again(self, k: int, root: int, block: np.ndarray, sizes: np.ndarray, rows: np.ndarray, begin: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End states of these segments begun in these states, and how many phrases more
+        begin in them than when begun at the root, of which the end states are `alone`."""
+        ends, more = alone.copy(), np.zeros(len(rows), dtype=np.int64)
+        live = np.flatnonzero(begin != root)
+        true, other, step = begin[live], np.full(len(live), root, dtype=np.int32), 0
+        while len(live):
+            symbol = block[rows[live], step]
+            rare = bool((symbol >= DENSE).any())
+            true, other = self._step(k, true, symbol, rare), self._step(k, other, symbol, rare)
+            more[live] += (true >> 30) - (other >> 30)
+            true, other = true & (FLAG - 1), other & (FLAG - 1)
+            step += 1
+            apart = true != other
+            over = apart & (sizes[rows[live]] <= step)
+            ends[live[over]] = true[over]
+            on = apart & ~over
+            live, true, other = live[on], true[on], other[on]
+        return ends, more
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        symbols = [self.alphabet.symbols(t) if t else np.zeros(0, dtype=np.uint8) for t in texts]
+        symbols = [self.alphabet.symbols(t) if t else np.zeros(0, dtype=np.int32) for t in texts]
         bits = self.phrases(symbols) * np.array(self.weights)
         names, scores = [], []
         for s, b in zip(symbols, bits, strict=True):
@@ -167,10 +228,11 @@ class Parser:
         return names, scores
 
 
-def train(rows: DataFrame, key_col: str, text_col: str, lang_col: str, per_label: int = 64, chars: int = 2_000, train_chars: int = 24_000) -> dict[str, str]:
+def train(rows: DataFrame, key_col: str, text_col: str, lang_col: str, per_label: int = 64, chars: int = 2_000, train_chars: int = 24_000, max_labels: int = 256) -> dict[str, str]:
     """Language -> training text, from a bounded sample of rows."""
     texts: dict[str, str] = {}
-    for lang, text in labelled_sample(rows, rows, F.col(f"`{key_col}`"), F.col(f"`{lang_col}`"), F.col(f"`{text_col}`"), per_label, chars):
+    label = F.col(f"`{lang_col}`")
+    for lang, text in labelled_sample(rows, rows, F.col(f"`{key_col}`"), label, F.col(f"`{text_col}`"), per_label, chars, max_labels, label):
         if len(texts.get(lang, "")) < train_chars:
             texts[lang] = (texts.get(lang, "") + "\n" + text)[:train_chars]
     return {k: v for k, v in texts.items() if any(ch.isalpha() for ch in v)}
@@ -188,7 +250,7 @@ def parser_of(texts: dict[str, str]) -> Parser:
     return _parsers[key]
 
 
-#: Characters walked at once; bounds a worker's memory beside the longest text.
+#: Characters walked at once (a text counts as a segment at least); bounds a worker's memory beside the longest text.
 AT_ONCE = 1 << 21
 
 
@@ -204,7 +266,7 @@ def identify(docs: DataFrame, model: dict[str, str], key_cols: list[str], text_c
             names, scores, part, size = [], [], [], 0
             for text in batch.column(at):
                 part.append(text.as_py())
-                size += len(part[-1] or "")
+                size += max(SEGMENT, len(part[-1] or ""))
                 if size >= AT_ONCE:
                     a, b = parser.predict(part)
                     names, scores, part, size = names + a, scores + b, [], 0

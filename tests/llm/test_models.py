@@ -340,3 +340,30 @@ def test_html_long_deep_and_repeated(spark):
     assert html_extract.main_text(f"<article>{'<p>Of.</p>' * 20_000}</article>") == " ".join(["Of."] * 20_000)
     df = spark.createDataFrame([(1, "<article><p>x</p></article>", "t", 5)] * 2, "page_id long, html string, text string, n_chars int")
     assert [tuple(r) for r in html_extract.extract(df, ["page_id"]).collect()] == [(1, "x", 1)] * 2
+
+
+def test_whole_texts_are_parsed_as_one():
+    """Longer than a segment, with 6,000 letters, and with letters that no language has."""
+    rng = random.Random(1)
+    han = [chr(0x4E00 + i) for i in range(6000)]
+    texts = {"a": "".join(rng.choice(han[:3000]) for _ in range(9000)), "b": "".join(rng.choice(han[3000:]) for _ in range(9000)), "en": EN * 3}
+    parser = language_id.Parser(texts)
+    assert parser.alphabet.size > 5000
+    code = lambda t: "".join(chr(0x10000 + c) for c in parser.alphabet.symbols(t).tolist())
+    mixed = " ".join(rng.choice("the cat ñ fox 中 ø lazy".split()) for _ in range(1500))
+    cases = [texts["a"][2000:7000], texts["b"][100:600] + texts["a"][50:2000] + EN, "".join(rng.choice(han) for _ in range(3000)), (EN + " ") * 40, "q" * 1500, "ñ" * 1500 + "the", mixed, "ж", "жa", "aжb", "x" * 512, "the cat " * 64]
+    want = [[longest_phrases(code(c), code(texts[n])) for n in parser.names] for c in cases]
+    assert parser.phrases([parser.alphabet.symbols(c) for c in cases]).tolist() == want
+    assert want[0] == [1, 5000, 5000] and parser.predict(cases)[0][:2] == ["a", "a"]
+
+
+def test_language_id_ties_long_texts_and_repeated_keys(spark):
+    assert language_id.Parser({"b": EN, "a": EN}).predict(["the cat"]) == (["a"], [0.5])
+    assert language_id.Parser({"b": EN + "the", "a": EN}).names == ["b", "a"]
+    rows = [(1, EN, "en"), (1, DE, None), (1, DE, "de"), (2, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df, "doc_id", "text", "lang")
+    assert {k: v.strip() for k, v in model.items()} == {"en": EN, "de": DE}
+    assert language_id.train(df, "doc_id", "text", "lang", max_labels=1).keys() == {"en"}
+    long = spark.createDataFrame([(1, (EN + " ") * 5000), (2, (DE + " ") * 5000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(long, model, ["doc_id"]).collect()} == {1: "en", 2: "de"}
