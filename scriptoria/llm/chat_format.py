@@ -1,7 +1,7 @@
 """Chat formatting: a fingerprint of nested field paths selects a declarative mapping.
 
 A record's fingerprint is the hash of the sorted paths of its filled fields ("prompt",
-"messages[].role", ...). Mappings, keyed by such fingerprints, say how prompt,
+"messages[].role", ...), of those that some mapping names. Mappings, keyed by such fingerprints, say how prompt,
 instruction and message layouts become canonical turns (role, text); they are compiled
 into one CASE over the fingerprint. The canonical turns are written in a template:
 
@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptoria.llm.common import let
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -131,23 +133,28 @@ def format_chats(records: DataFrame, key_cols: list[str], mappings: tuple[Mappin
     """Key columns, layout, formatted (one string) and segments (its pieces with the loss
     mask); all other columns of records are the heterogeneous fields."""
     schema = T.StructType([f for f in records.schema.fields if f.name not in key_cols])
-    paths = field_paths(schema)
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
-    for m in mappings:
-        built = _turns(m, schema)
-        if built is not None:
-            same = F.col("_fingerprint") == F.xxhash64(F.lit("\n".join(sorted(m.paths))))
-            layout, turns = F.when(same, F.lit(m.layout)).otherwise(layout), F.when(same, built).otherwise(turns)
-    d = records.withColumn("_fingerprint", fingerprint(paths))
-    keys = [F.col(f"`{k}`") for k in key_cols]
-    d = d.select(*keys, layout.alias("layout"), turns.alias("_turns"))
+    named = {p for m in mappings for p in m.paths}
+    paths = {p: filled for p, filled in field_paths(schema).items() if p in named}
+
+    def mapped(print_: Column) -> Column:
+        layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
+        for m in mappings:
+            built = _turns(m, schema)
+            if built is not None:
+                same = print_ == F.xxhash64(F.lit("\n".join(sorted(m.paths))))
+                layout, turns = F.when(same, F.lit(m.layout)).otherwise(layout), F.when(same, built).otherwise(turns)
+        return F.struct(layout.alias("layout"), turns.alias("turns"))
+
+    # keys and result in two structs, so that no name of the input can clash
+    d = records.select(F.struct(*[F.col(f"`{k}`") for k in key_cols]).alias("_keys"), let(fingerprint(paths), mapped).alias("_m"))
+    keys = [F.col(f"_keys.`{k}`").alias(k) for k in key_cols]
 
     def pieces(t: Column) -> Column:
         piece = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
         return F.array(piece(F.concat(F.lit(START), _role(t["role"]), F.lit("\n")), F.lit(False)), piece(escape(t["text"]), t["role"] == "assistant"), piece(F.lit(END), F.lit(False)))
 
-    d = d.select(*keys, "layout", F.flatten(F.transform("_turns", pieces)).alias("segments"))
-    return d.select(*keys, "layout", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    d = d.select("_keys", F.col("_m.layout").alias("_layout"), F.flatten(F.transform("_m.turns", pieces)).alias("_segments"))
+    return d.select(*keys, F.col("_layout").alias("layout"), F.array_join(F.transform("_segments", lambda s: s["text"]), "").alias("formatted"), F.col("_segments").alias("segments"))
 
 
 def read_back(formatted: Column) -> Column:
