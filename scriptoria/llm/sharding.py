@@ -35,7 +35,7 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
     return (-F.array_max(F.array(*[score(j, w) for j, w in enumerate(weights)]))["j"]).cast("int")
 
 
-def shard(docs: DataFrame, weights: list[float], new_weight: float | None = None, key_col: str = "doc_id", text_col: str = "text", buckets: int = 256) -> DataFrame:
+def shard(docs: DataFrame, weights: list[float], new_weight: float | None = None, key_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 1_000_000) -> DataFrame:
     """One row per input row: key, size, text_crc32, law, shard, slot, grown_shard.
 
     grown_shard is the shard after one of weight new_weight is added; null without it."""
@@ -43,10 +43,12 @@ def shard(docs: DataFrame, weights: list[float], new_weight: float | None = None
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     grown = rendezvous(F.col("key"), [*weights, new_weight]) if new_weight is not None else F.lit(None).cast("int")
     rows = docs.select(key.alias("key"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
-    rows = rows.withColumns({"shard": rendezvous(F.col("key"), weights), "grown_shard": grown, "bucket": F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("int")})
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows.withColumns({"shard": rendezvous(F.col("key"), weights), "grown_shard": grown}))
+    # a shard's slots are dealt by buckets of about bucket_rows rows, each one sort
+    buckets = max(16, -(-rows.count() // (bucket_rows * len(weights))))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    # at most len(weights) * buckets rows
+    # a row for each shard and bucket: one for a million rows of input
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("place")) - 1
