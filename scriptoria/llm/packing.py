@@ -10,7 +10,12 @@ linear in the number of cuts. Streams are solved in blocks of about `block` ids;
 block's last window is carried into the next block, so blocks cost no padding and
 memory is bounded by the block and the longest document.
 
-There is no shuffle: a task's only waste is its last window, and a lost task is redone
+A window whose length is a power of two needs no padding. So in a stream's last max_len
+ids every place is a cut and windows of such lengths cost `short_penalty` in place of
+their padding: the rest of a stream may end in a few unpadded windows. Elsewhere they are
+not considered, as they would only chop the stream into more sequences.
+
+There is no shuffle: a task's only waste is its end, and a lost task is redone
 from its input split alone.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each;
@@ -135,10 +140,15 @@ def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int, sente
     return places[order], penalty[order]
 
 
-def best_cuts(places: list[int], penalty: list[float], max_len: int) -> list[int]:
-    """The cuts of least padding plus penalty; neighbouring places are at most max_len apart."""
+def best_cuts(places: list[int], penalty: list[float], max_len: int, short_from: int | None = None, short_penalty: float = 0.0) -> list[int]:
+    """The cuts of least padding plus penalty; neighbouring places are at most max_len apart.
+    Windows that begin at short_from or later and have a power of two of ids cost
+    short_penalty in place of their padding."""
     cost, back, queue = [0.0] * len(places), [0] * len(places), deque([0])
     value = [0.0] * len(places)  # cost + place
+    late: dict[int, int] = {}  # place -> index, from short_from on
+    if short_from is not None and places[0] >= short_from:
+        late[places[0]] = 0
     for j in range(1, len(places)):
         b = places[j]
         while b - places[queue[0]] > max_len:
@@ -146,7 +156,17 @@ def best_cuts(places: list[int], penalty: list[float], max_len: int) -> list[int
         i = queue[0]
         back[j] = i
         value[j] = v = penalty[j] + max_len + value[i]  # cost[j] + b
+        if late:
+            n = 1
+            while n < max_len:
+                i = late.get(b - n)
+                if i is not None and cost[i] + penalty[j] + short_penalty + b < v:
+                    back[j] = i
+                    value[j] = v = cost[i] + penalty[j] + short_penalty + b
+                n *= 2
         cost[j] = v - b
+        if short_from is not None and b >= short_from:
+            late[b] = j
         while queue and value[queue[-1]] >= v:
             queue.pop()
         queue.append(j)
@@ -166,6 +186,7 @@ def pack(
     end_id: int = 0,
     sentence_penalty: float = 4.0,
     hard_penalty: float = 8.0,
+    short_penalty: float = 8.0,
     grid: int = 16,
     block: int = 1 << 19,
     with_ids: bool = True,
@@ -192,7 +213,13 @@ def pack(
             doc_ends = np.cumsum(sizes)
             sentences = np.flatnonzero(ends_sentence[np.minimum(ids, len(ends_sentence) - 1)]) + 1
             places, penalty = cut_places(doc_ends, sentences, min(grid, max_len), sentence_penalty, hard_penalty)
-            cuts = np.array(best_cuts(places.tolist(), penalty.tolist(), max_len))
+            short_from = None
+            if last:
+                short_from = max(0, len(ids) - max_len)
+                new = np.setdiff1d(np.arange(short_from + 1, len(ids)), places)
+                order = np.argsort(np.concatenate([places, new]), kind="stable")
+                places, penalty = np.concatenate([places, new])[order], np.concatenate([penalty, np.full(len(new), hard_penalty)])[order]
+            cuts = np.array(best_cuts(places.tolist(), penalty.tolist(), max_len, short_from, short_penalty))
             if not last:
                 cuts = cuts[:-1]
             stop = int(cuts[-1])

@@ -367,3 +367,38 @@ def test_language_id_ties_long_texts_and_repeated_keys(spark):
     assert language_id.train(df, "doc_id", "text", "lang", max_labels=1).keys() == {"en"}
     long = spark.createDataFrame([(1, (EN + " ") * 5000), (2, (DE + " ") * 5000)], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in language_id.identify(long, model, ["doc_id"]).collect()} == {1: "en", 2: "de"}
+
+
+def test_cuts_with_unpadded_short_windows_are_optimal():
+    rng = random.Random(7)
+    for _ in range(60):
+        total = rng.randint(3, 14)
+        places = [0, *sorted(rng.sample(range(1, total), min(total - 1, rng.randint(2, 8)))), total]
+        if any(b - a > 10 for a, b in zip(places, places[1:], strict=False)):
+            continue
+        penalty = [0.0, *[rng.choice([0.0, 1.0, 3.0]) for _ in places[1:]]]
+        short_from = rng.choice([0, total // 2])
+
+        def cost(cuts, places=places, penalty=penalty, short_from=short_from):
+            def window(a, b):
+                if b - a > 10:
+                    return float("inf")
+                return min(10 - (b - a), 2.0) if a >= short_from and (b - a) in (1, 2, 4, 8) else 10 - (b - a)
+
+            return sum(window(a, b) + penalty[places.index(b)] for a, b in zip(cuts, cuts[1:], strict=False))
+
+        best = min(cost([0, *c, total]) for k in range(len(places)) for c in combinations(places[1:-1], k))
+        assert cost(packing.best_cuts(places, penalty, 10, short_from, 2.0)) == pytest.approx(best)
+
+
+def test_a_stream_ends_in_unpadded_windows(spark):
+    """700 ids in one task: padding them to 1,024 would cost 324."""
+    df = spark.createDataFrame([(1, " ".join(["the"] * 699))], "doc_id long, text string").coalesce(1)
+    lengths = {}
+    for p in packing.pack(df, PATH).collect():
+        lengths[p.sequence_id] = lengths.get(p.sequence_id, 0) + p.length
+    padding = sum(0 if n & (n - 1) == 0 else 1024 - n for n in lengths.values())
+    assert sum(lengths.values()) == 700 and padding == 0 and len(lengths) <= 7
+    clash = spark.createDataFrame([(None, "a b", 1, 2), (None, None, 3, 4)], "doc_id long, text string, start int, sequence_id int")
+    pieces = packing.pack(clash, PATH, with_ids=False).collect()
+    assert sum(p.length for p in pieces) == 4 and {p.doc_tokens for p in pieces} == {1, 3} and {p.doc_id for p in pieces} == {None}
