@@ -4,6 +4,10 @@ Every measure is a built-in expression over the row's own text, so the operator
 no shuffle and no Python worker; a text of any length costs memory in proportion to
 that text alone.
 
+A rule may be keyed to languages: it judges the rows whose language column names one of
+them, so a text in a language or script without the table's stop words is not failed for
+that, and without a language column such a rule judges nothing.
+
 Defined cases: a null or empty text has no words, all measures 0 and fails the base
 rule; repeated rows are judged one by one; an empty table gives an empty result;
 input columns pass through unless a result column has the same name, which wins.
@@ -31,7 +35,7 @@ STOP_WORDS = (
 @dataclass(frozen=True)
 class Rule:
     """A document passes if low <= numerator / denominator <= high (0 / 0 counts as 0); the
-    rule judges texts of from_words words or more."""
+    rule judges texts of from_words words or more, in these languages (none: in any)."""
 
     name: str
     numerator: str
@@ -39,13 +43,14 @@ class Rule:
     low: float
     high: float
     from_words: int = 0
+    languages: tuple[str, ...] = ()
 
 
 #: The threshold table. The base rule of the contract stands beside it.
 RULES = (
     Rule("mean_word_chars", "word_chars", "n_words", 1.5, 20.0),
     Rule("symbols_per_word", "n_symbols", "n_words", 0.0, 0.25),
-    Rule("stop_word_share", "n_stop_words", "n_words", 0.01, 0.8, 30),
+    Rule("stop_word_share", "n_stop_words", "n_words", 0.01, 0.8, 30, ("en", "de", "fr", "es")),
     Rule("duplicate_line_share", "n_dup_lines", "n_lines", 0.0, 0.5),
 )
 
@@ -53,15 +58,17 @@ RULES = (
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def _repeat_words(windows: Column) -> Column:
+def _repeat_words(words: Column, windows: Column) -> Column:
     """Words that lie in a five-word window found at least twice in the text.
 
-    The windows are sorted with their places; a place counts if a neighbour in this
-    order has the same window; the union of the counted spans is then summed up. Texts
-    without equal windows, by far the most, skip the sort."""
+    windows: 64-bit hashes of the windows. They are sorted with their places; a place counts
+    if a neighbour in this order has the same five words; the union of the counted spans is
+    then summed up. Texts without equal hashes, by far the most, skip all that."""
 
     def starts(s: Column) -> Column:
-        same = lambda k, other: F.coalesce(F.get(s, k)["w"] == F.get(s, other)["w"], F.lit(False))
+        said = lambda k: F.slice(words, F.get(s, k)["i"] + 1, 5)
+        inside = lambda k: (k >= 0) & (k < F.size(s))
+        same = lambda k, other: F.when(inside(other) & (F.get(s, k)["w"] == F.get(s, other)["w"]), said(k) == said(other)).otherwise(F.lit(False))
         found = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
         return F.array_sort(F.transform(found, lambda k: F.get(s, k)["i"]))
 
@@ -75,29 +82,31 @@ def _repeat_words(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) < F.size(windows), covered).otherwise(F.lit(0))
 
 
-def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def judgement(text: Column, rules: tuple[Rule, ...] = RULES, lang: Column | None = None) -> Column:
     """One struct of all measures, base_failed, failed_<rule> and kept for a text."""
     stop = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
 
     def measured(s: Column) -> Column:
         text, words, lines = s["text"], s["words"], s["lines"]
         n = F.size(words)
-        windows = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.array_join(F.slice(words, i, 5), " "))).otherwise(F.array().cast("array<string>"))
+        hashed = lambda h: F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)]))
+        windows = F.when(n >= 5, let(F.transform(words, lambda w: F.xxhash64(w)), hashed)).otherwise(F.array().cast("array<bigint>"))
         values = (
             n,
-            F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")),
+            F.length(F.translate(text, " \t\n\v\f\r", "")),
             F.length(text) - F.length(F.translate(text, "#*$%&|<>", "")),
             F.size(F.filter(words, lambda w: w.isin(stop))),
             F.size(lines),
             F.size(lines) - F.size(F.array_distinct(lines)),
-            let(windows, _repeat_words),
+            let(windows, lambda w: _repeat_words(words, w)),
         )
         return F.struct(*[v.cast("long").alias(m) for m, v in zip(MEASURES, values, strict=True)])
 
     def judged(m: Column) -> Column:
         def failed(r: Rule) -> Column:
             ratio = F.coalesce(F.try_divide(m[r.numerator].cast("double"), m[r.denominator]), F.lit(0.0))
-            return (m["n_words"] >= r.from_words) & ~ratio.between(r.low, r.high)
+            spoken = F.lit(True) if not r.languages else F.lit(False) if lang is None else F.coalesce(lang.isin(*r.languages), F.lit(False))
+            return (m["n_words"] >= r.from_words) & ~ratio.between(r.low, r.high) & spoken
 
         base = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
         fails = {f"failed_{r.name}": failed(r) for r in rules}
@@ -109,9 +118,9 @@ def judgement(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return let(let(F.struct(t.alias("text"), words_of(t).alias("words"), lines.alias("lines")), measured), judged)
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, lang_col: str | None = None) -> DataFrame:
     """docs with the measures, one boolean `failed_<rule>` per rule, base_failed and kept."""
-    d = boxed(docs, _j=judgement(F.col(f"`{text_col}`"), rules))
+    d = boxed(docs, _j=judgement(F.col(f"`{text_col}`"), rules, None if lang_col is None else F.col(f"`{lang_col}`")))
     names = [*MEASURES, *(f"failed_{r.name}" for r in rules), "base_failed", "kept"]
     return unboxed(d, docs.columns, **{n: F.col(f"_j.{n}") for n in names})
 
@@ -119,10 +128,11 @@ def quality_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
 def oracle_select() -> str:
     """DuckDB SQL with the operator's measures and verdict for each document."""
     stop = ", ".join("'" + w + "'" for w in sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)}))
-    fails = " OR ".join(f"n_words >= {r.from_words} AND NOT (CASE WHEN {r.denominator} = 0 THEN 0 ELSE {r.numerator}::DOUBLE / {r.denominator} END BETWEEN {r.low} AND {r.high})" for r in RULES)
+    spoken = lambda r: f"coalesce(lang IN ({', '.join(repr(x) for x in r.languages)}), false) AND " if r.languages else ""
+    fails = " OR ".join(f"{spoken(r)}n_words >= {r.from_words} AND NOT (CASE WHEN {r.denominator} = 0 THEN 0 ELSE {r.numerator}::DOUBLE / {r.denominator} END BETWEEN {r.low} AND {r.high})" for r in RULES)
     return f"""
 WITH base AS (
-  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM documents),
 win AS (
@@ -131,7 +141,7 @@ win AS (
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (SELECT unnest(range(0, 5)) AS o) GROUP BY doc_id),
 m AS (
-  SELECT b.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  SELECT b.doc_id, b.lang, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars,
          (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
          len(list_filter(words, lambda x: x IN ({stop})))::BIGINT AS n_stop_words, len(lines)::BIGINT AS n_lines,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words

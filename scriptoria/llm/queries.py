@@ -10,7 +10,6 @@ from scriptoria.llm import chat_format, decontaminate, html_extract, language_id
 from scriptoria.llm.samples import fold
 from scriptoria.session import table
 
-RULE_SCHEMA = "host string, path string, verdict string"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -60,12 +59,12 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality_rules.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), lang_col="lang")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(url_filters.CONTRACT_RULES), RULE_SCHEMA)
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(r) for r in url_filters.CONTRACT_RULES) + " AS t(host, path, verdict)")
     return url_filters.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -130,3 +130,55 @@ def test_chat_layouts(spark):
     assert got[2].layout == "instruction_input" and "do\n\nwith" in got[2].formatted
     assert got[3].layout == "share" and got[3].formatted == "<|im_start|>user\nhi<|im_end|>\n"
     assert got[1].layout is None and got[4].formatted is None
+
+
+def test_url_filter_plans_agree(spark):
+    """By shape, exploded with a broadcast and exploded by shuffle."""
+    hosts = ["a.b.c.com", "com", "x.com", "", "c.com", "b.c.com"]
+    paths = ["", "/", "/p", "/p/", "/p/q/r", "/pq/"]
+    pages = spark.createDataFrame([(i, None if i == 7 else f"http://{h}{p}?x") for i, (h, p) in enumerate((h, p) for h in hosts for p in paths)], "page_id long, url string").withColumn("_host", F.lit("clash"))
+    rules = spark.createDataFrame([("com", "/", "block"), ("c.com", "", "allow"), ("c.com", "/p", "block"), ("c.com", "/p", "allow"), ("b.c.com", "/p/q", "allow"), ("x.com", None, "block"), ("", "/", "block"), (None, "/", "block")], "host string, path string, verdict string")
+    plans = [url_filters.url_filter(pages, rules, **k) for k in ({}, {"max_shapes": 1}, {"broadcast_rules": 1})]
+    got = [sorted(map(tuple, p.collect()), key=str) for p in plans]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 36
+    by_id = {r.page_id: r for r in plans[0].collect()}
+    assert by_id[2].rule == "c.com/p" and by_id[2].verdict == "block" and by_id[4].rule == "b.c.com/p/q" and by_id[7].rule is None
+    assert "Exchange hashpartitioning(_id" not in plans[0]._jdf.queryExecution().toString()
+
+
+def test_stop_words_judge_known_languages_alone(spark):
+    text = "ala ma kota i psa ktorego bardzo lubi wiec chodzi z nim codziennie rano albo wieczorem nad rzeke gdzie plywaja kaczki oraz labedzie potem wraca domu pije herbate czyta gazete slucha radia pisze listy swoich dawnych kolegow szkolnych."
+    df = spark.createDataFrame([(1, text, "en"), (2, text, "pl"), (3, text, None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df, lang_col="lang").collect()}
+    assert [got[i].failed_stop_word_share for i in (1, 2, 3)] == [True, False, False] and [got[i].kept for i in (1, 2, 3)] == [False, True, True]
+    assert all(r.kept for r in quality_rules.quality_rules(df).collect())
+
+
+def test_quality_rules_of_a_very_long_text(spark):
+    words = [f"w{i % 50_000}" for i in range(100_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:50_000]))], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality_rules.quality_rules(df).collect()} == {1: (100_000, 100_000), 2: (50_000, 0)}
+
+
+def test_chats_with_extra_filled_fields(spark):
+    df = spark.createDataFrame([(1, "q", "a", "crawl 7", 3, "x"), (2, "q", None, "s", 4, None)], "_turns long, prompt string, response string, origin string, layout int, _m string")
+    got = {r["_turns"]: r for r in chat_format.format_chats(df, ["_turns"]).collect()}
+    assert got[1].layout == "prompt_response" and "q" in got[1].formatted and got[2].layout is None and got[2].formatted is None
+    assert chat_format.format_chats(df.limit(0), ["_turns"]).count() == 0
+
+
+def test_shards_are_the_rendezvous_winners(spark):
+    """Recomputed key by key; slots without gaps over several buckets; names that clash."""
+    import math
+
+    weights = [1.0, 2.0, 1.0]
+    df = spark.createDataFrame([(i if i % 50 else None, f"t{i % 7}") for i in range(2000)], "doc_id long, text string").withColumn("shard", F.lit("x")).withColumn("key", F.lit("y"))
+    rows = sharding.shard(df, weights, 1.5, bucket_rows=10).collect()
+    keys = sorted({r.doc_id for r in rows if r.doc_id is not None})
+    hashed = spark.createDataFrame([(f"k{k}", j) for k in keys for j in range(4)], "k string, j int").select("k", "j", F.xxhash64("k", "j").alias("h")).collect()
+    score = {(r.k, r.j): -[*weights, 1.5][r.j] / math.log((((r.h % (1 << 64)) >> 12) + 0.5) / (1 << 52)) for r in hashed}
+    winner = {k: [max(range(n), key=lambda j: (score[f"k{k}", j], -j)) for n in (3, 4)] for k in keys}
+    assert all([r.shard, r.grown_shard] == winner[r.doc_id] for r in rows if r.doc_id is not None)
+    for shard in range(3):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    assert sharding.shard(df.limit(0), weights).count() == 0
