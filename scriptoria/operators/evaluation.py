@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,17 +40,34 @@ def set_overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of unsigned values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def bootstrap(values: DataFrame, value: str, resamples: int = 1000, confidence: float = 0.95) -> DataFrame:
     """Percentile interval of the mean by Poisson resampling: each row's weight in a
-    resample is a Poisson(1) draw from a hash of row and resample, so rows stay where
-    they are and only sums per resample are shuffled."""
-    u = (F.pmod(F.xxhash64(F.col("id"), F.col("r")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    weight, total = F.lit(0), 0.0
-    for k in range(1, 12):
-        total += math.exp(-1) / math.factorial(k - 1)
-        weight = weight + (u > total).cast("int")
-    rows = values.select("id", F.col(value).alias("x")).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    means = rows.withColumn("w", weight).groupBy("r").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m"))
+    resample is a Poisson(1) draw from a hash of row id and resample. A task adds up all
+    resamples of its own rows, so only `resamples` sums leave it; rows are never repeated.
+    Rows without a value don't count."""
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = _mixed(np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            h, x = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            for low in range(0, len(h), 512):
+                draw = (_mixed(h[low : low + 512, None] ^ turn[None, :]) >> np.uint64(11)) / float(1 << 53)
+                w = np.searchsorted(steps, draw, side="right").astype(np.float64)
+                weight += w.sum(axis=0)
+                total += x[low : low + 512] @ w
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples, dtype=np.int32)), pa.array(weight), pa.array(total)], names=["r", "w", "t"])
+
+    rows = values.select(F.xxhash64("id").alias("h"), F.col(value).cast("double").alias("x")).where("x is not null")
+    means = rows.mapInArrow(run, "r int, w double, t double").groupBy("r").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("m"))
     low = (1 - confidence) / 2
     ci = means.agg(F.percentile("m", F.lit(low)).alias("low"), F.percentile("m", F.lit(1 - low)).alias("high"))
     return values.agg(F.avg(value).alias("mean")).join(F.broadcast(ci))

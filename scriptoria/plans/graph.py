@@ -1,6 +1,6 @@
 """Graph, clustering and knowledge-graph queries.
 
-The citation graph is made of order lines modulo 300; triples come from `part`."""
+The citation graph is the whole citation view; triples come from `part`."""
 
 from __future__ import annotations
 
@@ -13,36 +13,39 @@ from scriptoria.plans.registry import query
 from scriptoria.plans.views import CITATIONS_SQL, citations
 from scriptoria.session import table
 
-EDGES_SQL = "e AS MATERIALIZED (SELECT l_orderkey % 250 AS src, l_partkey % 300 AS dst FROM lineitem)"
+EDGES_SQL = "e AS MATERIALIZED (SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem)"
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select((F.col("l_orderkey") % 250).alias("src"), (F.col("l_partkey") % 300).alias("dst"))
+def _nodes_and_edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = citations(spark, d).toDF("src", "dst")
+    return e.select(F.col("src").alias("id")).union(e.select("dst")).distinct(), e
 
 
 def _rank_sql(rounds: int, standard: bool) -> str:
-    share = "(SELECT coalesce(sum(rank), 0) FROM {r} WHERE d) / 300" if standard else "CASE WHEN {r}.d THEN (SELECT sum(rank) FROM {r}) / 300 ELSE 0 END"
+    share = "(SELECT coalesce(sum(rank), 0) FROM {r} WHERE d) / (SELECT n FROM s)" if standard else "CASE WHEN {r}.d THEN (SELECT sum(rank) FROM {r}) / (SELECT n FROM s) ELSE 0 END"
     ctes = [
         EDGES_SQL,
         "k AS MATERIALIZED (SELECT src, dst FROM e WHERE src <> dst)",
         "g AS MATERIALIZED (SELECT src, count(*) AS n FROM k GROUP BY src)",
         "w AS MATERIALIZED (SELECT src, dst, count(*) / any_value(g.n) AS w FROM k JOIN g USING (src) GROUP BY ALL)",
-        "r0 AS MATERIALIZED (SELECT id, id NOT IN (SELECT src FROM g) AS d, 1.0::DOUBLE / 300 AS rank FROM (SELECT unnest(range(300)) AS id))",
+        "v AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e))",
+        "s AS MATERIALIZED (SELECT count(*)::DOUBLE AS n FROM v)",
+        "r0 AS MATERIALIZED (SELECT id, id NOT IN (SELECT src FROM g) AS d, 1.0 / (SELECT n FROM s) AS rank FROM v)",
     ]
     for i in range(rounds):
         r = f"r{i}"
-        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT {r}.id, {r}.d, 0.85 * (coalesce(got, 0) + {share.format(r=r)}) + 0.15 / 300 AS rank FROM {r} LEFT JOIN (SELECT dst, sum(w * rank) AS got FROM w JOIN {r} ON src = id GROUP BY dst) ON dst = {r}.id)")
-    return "WITH " + ", ".join(ctes) + f" SELECT id, round(rank, 8) AS rank FROM r{rounds}"
+        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT {r}.id, {r}.d, 0.85 * (coalesce(got, 0) + {share.format(r=r)}) + 0.15 / (SELECT n FROM s) AS rank FROM {r} LEFT JOIN (SELECT dst, sum(w * rank) AS got FROM w JOIN {r} ON src = id GROUP BY dst) ON dst = {r}.id)")
+    return "WITH " + ", ".join(ctes) + f" SELECT id, round(rank, 10) AS rank FROM r{rounds}"
 
 
-@query("g1_page_rank", _rank_sql(10, False))
+@query("g1_page_rank", _rank_sql(30, False))
 def g1(spark, d):
-    return ops.page_rank(spark.range(300), _edges(spark, d), rounds=10).select("id", F.round("rank", 8).alias("rank"))
+    return ops.page_rank(*_nodes_and_edges(spark, d)).select("id", F.round("rank", 10).alias("rank"))
 
 
-@query("g1_page_rank_standard", _rank_sql(6, True))
+@query("g1_page_rank_standard", _rank_sql(30, True))
 def g1_standard(spark, d):
-    return ops.page_rank(spark.range(300), _edges(spark, d), rounds=6, standard=True).select("id", F.round("rank", 8).alias("rank"))
+    return ops.page_rank(*_nodes_and_edges(spark, d), standard=True).select("id", F.round("rank", 10).alias("rank"))
 
 
 @query(
@@ -95,15 +98,20 @@ def g8(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count_if((F.col("l_returnflag") == "R") | (F.col("l_linestatus") == "F")).alias("influential"))
 
 
+#: Types of works by key, dropped and kept ones.
+_KINDS = ("Editorial", "article", "erratum", "proceedings-article", "Correction", "paratext", "letter", "retraction", "peer-review", "book", "grant", "proceedings-article")
+
+
 @query(
     "g9_hard_filters",
-    "SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'retracted' WHEN p_partkey % 7 = 0 AND p_partkey % 5 <> 0 THEN 'predatory_venue' WHEN p_partkey % 3 = 0 THEN 'doc_type:editorial' WHEN p_size < 4 THEN 'doc_type:short_proceedings' END AS reason FROM part",
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN 'retracted' WHEN p_partkey % 7 = 0 AND p_partkey % 5 <> 0 THEN 'predatory_venue' WHEN p_partkey % 13 = 0 THEN 'predatory_venue' WHEN p_partkey % 12 IN (0, 2, 4, 6, 8, 10) THEN 'doc_type:' || list_value('editorial', 'erratum', 'correction', 'letter', 'peer-review', 'grant')[(p_partkey % 12) // 2 + 1] WHEN p_partkey % 12 IN (3, 11) AND p_size < 4 THEN 'doc_type:short_proceedings' END AS reason FROM part",
 )
 def g9(spark, d):
     k = F.col("p_partkey")
-    venue = F.when(k % 7 == 0, F.concat(F.lit("Journal of OMICS International"), F.when(k % 5 == 0, " Society").otherwise(""))).otherwise("Fine Journal")
-    kind = F.when(k % 3 == 0, "Editorial").otherwise("proceedings-article")
-    return table(spark, d, "part").select(k.alias("id"), ops.drop_reason(k % 11 == 0, venue, kind, F.col("p_size"), allowed=("society",)).alias("reason"))
+    fixed = F.concat(F.lit("Journal of OMICS International"), F.when(k % 5 == 0, " Society").otherwise(""))
+    venue = F.when(k % 13 == 0, "Blocked Letters").when(k % 7 == 0, fixed).otherwise("Fine Journal")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (k % 12 + 1).cast("int"))
+    return table(spark, d, "part").select(k.alias("id"), ops.drop_reason(k % 11 == 0, venue, kind, F.col("p_size"), allowed=("society",), blocked=("blocked",)).alias("reason"))
 
 
 @query(
@@ -159,12 +167,12 @@ def g19(spark, d):
 
 @query(
     "g20_npmi_coherence",
-    "WITH k AS (SELECT DISTINCT p_brand AS cluster, split_part(p_type, ' ', 1) AS term FROM part UNION SELECT DISTINCT p_brand, split_part(p_type, ' ', 2) FROM part), i AS (SELECT DISTINCT p_partkey AS doc, unnest(string_split(p_type, ' ')) AS term FROM part), n AS (SELECT count(DISTINCT doc)::DOUBLE AS n FROM i), c AS (SELECT term, count(*) AS c FROM i GROUP BY term), m AS (SELECT x.term AS a, y.term AS b, count(*) AS nboth FROM i x JOIN i y ON x.doc = y.doc AND x.term < y.term GROUP BY ALL), p AS (SELECT x.cluster, x.term AS a, y.term AS b FROM k x JOIN k y ON x.cluster = y.cluster AND x.term < y.term) SELECT cluster, round(avg(CASE WHEN nboth >= n THEN 1.0 ELSE ln((nboth / n) / ((ca.c / n) * (cb.c / n))) / -ln(nboth / n) END), 6) AS npmi, count(*)::BIGINT AS pairs FROM p JOIN m USING (a, b) JOIN c ca ON ca.term = a JOIN c cb ON cb.term = b, n GROUP BY cluster",
+    "WITH k AS (SELECT DISTINCT p_brand AS cluster, unnest(string_split(p_name, ' ')) AS term FROM part), i AS (SELECT DISTINCT p_partkey AS doc, unnest(string_split(p_name || ' ' || p_type, ' ')) AS term FROM part), n AS (SELECT count(DISTINCT doc)::DOUBLE AS n FROM i), c AS (SELECT term, count(*) AS c FROM i GROUP BY term), m AS (SELECT x.term AS a, y.term AS b, count(*) AS nboth FROM i x JOIN i y ON x.doc = y.doc AND x.term < y.term GROUP BY ALL), p AS (SELECT x.cluster, x.term AS a, y.term AS b FROM k x JOIN k y ON x.cluster = y.cluster AND x.term < y.term) SELECT cluster, round(avg(CASE WHEN nboth >= n THEN 1.0 ELSE ln((nboth / n) / ((ca.c / n) * (cb.c / n))) / -ln(nboth / n) END), 6) AS npmi, count(*)::BIGINT AS pairs FROM p JOIN m USING (a, b) JOIN c ca ON ca.term = a JOIN c cb ON cb.term = b, n GROUP BY cluster",
 )
 def g20(spark, d):
     p = table(spark, d, "part")
-    words = p.select(F.col("p_brand").alias("cluster"), F.explode(F.slice(F.split("p_type", " "), 1, 2)).alias("term")).distinct()
-    inc = p.select(F.col("p_partkey").alias("doc"), F.explode(F.split("p_type", " ")).alias("term"))
+    words = p.select(F.col("p_brand").alias("cluster"), F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    inc = p.select(F.col("p_partkey").alias("doc"), F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("term"))
     return ops.npmi(words, inc).select("cluster", F.round("npmi", 6).alias("npmi"), "pairs")
 
 

@@ -11,15 +11,44 @@ from scriptoria.operators import retrieval as ops
 from scriptoria.operators import vectors as vec
 from scriptoria.plans.registry import query
 from scriptoria.plans.views import citations
-from scriptoria.session import cut_lineage, table
+from scriptoria.session import checkpoint_folder, table, version_of
 
 DIMENSIONS = 64
 _SQL_COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
 
 
+_vectors: dict[tuple, list[list[float]]] = {}
+
+
 def _query_vector(spark: SparkSession, d: str, vec_id: int = 0) -> list[float]:
-    row = table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()
-    return [float(x) for x in row[0]] if row else [0.0] * DIMENSIONS
+    return _query_vectors(spark, d, [vec_id])[0]
+
+
+def _query_vectors(spark: SparkSession, d: str, vec_ids: list[int]) -> list[list[float]]:
+    """The vectors of these ids, all in one read. A query's vector comes from outside in
+    use, so what was read once for a state of the table is kept."""
+    source = f"{d}/embeddings.parquet"
+    key = (spark.sparkContext.applicationId, source, version_of(spark, source), *vec_ids)
+    if key in _vectors:
+        return _vectors[key]
+    rows = table(spark, d, "embeddings").where(F.col("vec_id").isin(*vec_ids)).select("vec_id", "embedding").collect()
+    found = {r.vec_id: [float(x) for x in r.embedding] for r in rows}
+    _vectors[key] = [found.get(i, [0.0] * DIMENSIONS) for i in vec_ids]
+    return _vectors[key]
+
+
+_indexes: dict[tuple[str, str, str], ops.Postings] = {}
+
+
+def _postings(spark: SparkSession, d: str, wanted: list[str]) -> DataFrame:
+    """Postings of these tokens from the inverted index of `documents`, which is written
+    once for each session and state of the table."""
+    source = f"{d}/documents.parquet"
+    key = (spark.sparkContext.applicationId, source, version_of(spark, source))
+    if key not in _indexes:
+        path = f"{checkpoint_folder(spark)}/postings-{key[2]}"
+        _indexes[key] = ops.write_postings(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", path)
+    return _indexes[key].of(wanted)
 
 
 def _dense(spark: SparkSession, d: str, k: int) -> DataFrame:
@@ -48,9 +77,7 @@ SPARSE_SQL = f"{TOKENS_SQL}, q(t, w) AS (VALUES {_VALUES}), sparse AS (SELECT do
 
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(ops.tokens(F.col("text"))).alias("token"))
-    postings = t.where(F.col("token").isin(*SPARSE_QUERY)).groupBy("id", "token").agg(F.count("*").cast("double").alias("weight"))
-    return vec.sparse_dot(postings, SPARSE_QUERY)
+    return vec.sparse_dot(_postings(spark, d, sorted(SPARSE_QUERY)), SPARSE_QUERY)
 
 
 @query("r3_sparse_search", f"WITH {SPARSE_SQL} SELECT id, round(score, 4) AS score FROM sparse ORDER BY sparse.score DESC, id LIMIT 50")
@@ -60,7 +87,7 @@ def r3(spark, d):
 
 @query("r4_full_text")
 def r4(spark, d):
-    return ops.full_text(table(spark, d, "documents"), "doc_id", "text", "the of and", 50)
+    return ops.indexed_full_text(_postings(spark, d, ["the", "of", "and"]), "the of and", 50)
 
 
 @query(
@@ -79,8 +106,9 @@ fused AS (SELECT id, sum(w)::DOUBLE AS score FROM (SELECT id, 1.0::DOUBLE / (60
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    sparse = _sparse(spark, d).orderBy(F.desc("score"), "id").limit(50)
-    return ops.fuse([ops.ranked(_dense(spark, d, 50)), ops.ranked(sparse)], [1.0, 0.5])
+    sparse = _sparse(spark, d).select(F.lit("sparse").alias("leg"), "id", "score")
+    dense = _dense(spark, d, 50).select(F.lit("dense").alias("leg"), "id", "score")
+    return ops.fused_legs(dense.union(sparse), {"dense": 1.0, "sparse": 0.5})
 
 
 @query("r7_weighted_fusion", f"WITH {FUSED_SQL} SELECT id, round(score, 8) AS score FROM fused")
@@ -96,8 +124,8 @@ def r7(spark, d):
 )
 def r8(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
-    legs = [ops.globally_ranked(p.select("id", ((F.col("id") * m + F.col("p_size") * n) % 9973).alias("score"))) for m, n in ((3, 1), (5, 2), (7, 3), (11, 5), (13, 7), (17, 11), (19, 13), (23, 17), (29, 19))]
-    return ops.fuse(legs).select("id", F.round("score", 8).alias("score"))
+    signals = F.array(*[(F.col("id") * m + F.col("p_size") * n) % 9973 for m, n in ((3, 1), (5, 2), (7, 3), (11, 5), (13, 7), (17, 11), (19, 13), (23, 17), (29, 19))])
+    return ops.fuse([ops.signal_ranks(p.select("id", F.posexplode(signals).alias("signal", "score")))]).select("id", F.round("score", 8).alias("score"))
 
 
 @query(
@@ -114,8 +142,9 @@ CITED_SQL = "cited AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP
 
 @query("r10_citation_boost", f"WITH {FUSED_SQL}, {CITED_SQL} SELECT f.id, round(score * (1 + 0.1 * log2(1 + coalesce(n, 0))), 8) AS score FROM fused f LEFT JOIN cited c ON f.id = c.id")
 def r10(spark, d):
-    n = citations(spark, d).groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("n"))
-    return ops.count_boost(_fused(spark, d), n, 0.1).select("id", F.round("score", 8).alias("score"))
+    fused = ops.held(_fused(spark, d))
+    n = ops.counts_of(fused, citations(spark, d).select(F.col("cited").alias("id")))
+    return ops.count_boost(fused, n, 0.1).select("id", F.round("score", 8).alias("score"))
 
 
 @query(
@@ -138,25 +167,25 @@ def r12(spark, d):
 
 @query(
     "r13_cocitation_boost",
-    f"WITH {FUSED_SQL}, e AS (SELECT DISTINCT l_orderkey % 500 AS citing, l_partkey % 500 AS cited FROM lineitem), top AS (SELECT id AS anchor FROM fused ORDER BY score DESC, id LIMIT 20), b AS (SELECT anchor, cited AS id FROM e JOIN top ON citing = anchor UNION ALL SELECT anchor, citing FROM e JOIN top ON cited = anchor), n AS (SELECT id, count(DISTINCT anchor) AS n FROM b WHERE anchor <> id GROUP BY id HAVING count(DISTINCT anchor) >= 2) SELECT f.id, round(score * (1 + 0.1 * log2(1 + coalesce(n, 0))), 8) AS score FROM fused f LEFT JOIN n ON f.id = n.id",
+    f"WITH {FUSED_SQL}, e AS (SELECT DISTINCT l_orderkey AS citing, l_partkey AS cited FROM lineitem), top AS (SELECT id AS anchor FROM fused ORDER BY score DESC, id LIMIT 20), b AS (SELECT anchor, cited AS id FROM e JOIN top ON citing = anchor UNION ALL SELECT anchor, citing FROM e JOIN top ON cited = anchor), n AS (SELECT id, count(DISTINCT anchor) AS n FROM b WHERE anchor <> id GROUP BY id HAVING count(DISTINCT anchor) >= 2) SELECT f.id, round(score * (1 + 0.1 * log2(1 + coalesce(n, 0))), 8) AS score FROM fused f LEFT JOIN n ON f.id = n.id",
 )
 def r13(spark, d):
-    e = citations(spark, d).select((F.col("citing") % 500).alias("citing"), (F.col("cited") % 500).alias("cited")).distinct()
-    return ops.cocitation_boost(_fused(spark, d), e, 0.1).select("id", F.round("score", 8).alias("score"))
+    return ops.cocitation_boost(ops.held(_fused(spark, d)), citations(spark, d), 0.1).select("id", F.round("score", 8).alias("score"))
 
 
 @query("r14_hybrid_search")
 def r14(spark, d):
     """The flagship: three legs, fusion, hydration, two boosts, top 50."""
     docs = table(spark, d, "documents")
-    sparse = _sparse(spark, d).orderBy(F.desc("score"), "id").limit(50)
-    lexical = ops.full_text(docs, "doc_id", "text", "the of and", 50)
-    # at most 150 rows, used by the boosts more than once
-    fused = cut_lineage(ops.fuse([ops.ranked(_dense(spark, d, 50)), ops.ranked(sparse), ops.ranked(lexical)], [1.0, 1.0, 0.5]))
-    cited = citations(spark, d).groupBy(F.col("cited").alias("id")).agg(F.count("*").alias("n"))
-    boosted = ops.cocitation_boost(cut_lineage(ops.count_boost(fused, cited, 0.1)), citations(spark, d), 0.1)
+    postings = _postings(spark, d, sorted({*SPARSE_QUERY, "the", "of", "and"}))
+    dense = _dense(spark, d, 50).select(F.lit("dense").alias("leg"), "id", "score")
+    legs = dense.union(ops.text_legs(postings, SPARSE_QUERY, "the of and"))
+    fused = ops.held(ops.fused_legs(legs, {"dense": 1.0, "sparse": 1.0, "lexical": 0.5}))
+    edges = citations(spark, d)
+    boosted = ops.held(ops.count_boost(fused, ops.counts_of(fused, edges.select(F.col("cited").alias("id"))), 0.1))
+    boosted = ops.cocitation_boost(boosted, edges, 0.1)
     shown = docs.select(F.col("doc_id").alias("id"), "source", "lang", F.substring("text", 1, 120).alias("preview"))
-    return boosted.join(shown, "id").select("id", F.round("score", 8).alias("score"), "source", "lang", "preview").orderBy(F.desc("score"), "id").limit(50)
+    return shown.join(F.broadcast(boosted), "id").select("id", F.round("score", 8).alias("score"), "source", "lang", "preview").orderBy(F.desc("score"), "id").limit(50)
 
 
 @query("r16_rerank", f"WITH {FUSED_SQL} SELECT f.id, round((n_chars % 97) / 97.0, 6) AS score FROM fused f JOIN documents ON doc_id = f.id ORDER BY round((n_chars % 97) / 97.0, 6) DESC, f.id LIMIT 10")
@@ -173,7 +202,7 @@ def r16(spark, d):
 def r17(spark, d):
     e = table(spark, d, "embeddings")
     g = e.groupBy(F.floor(F.col("vec_id") / 4).alias("doc")).agg(F.collect_list("embedding").alias("vectors"))
-    return g.select("doc", F.round(vec.max_sim([_query_vector(spark, d, i) for i in range(3)], F.col("vectors")), 6).alias("score"))
+    return g.select("doc", F.round(vec.max_sim(_query_vectors(spark, d, [0, 1, 2]), F.col("vectors")), 6).alias("score"))
 
 
 @query(
@@ -268,7 +297,7 @@ def r27(spark, d):
 )
 def r29(spark, d):
     e = table(spark, d, "embeddings").where("vec_id >= 8")
-    q = spark.createDataFrame([(i, _query_vector(spark, d, i)) for i in range(8)], "topic long, q array<double>")
+    q = spark.createDataFrame(list(enumerate(_query_vectors(spark, d, list(range(8))))), "topic long, q array<double>")
     s = e.join(F.broadcast(q)).groupBy("topic", "label").agg(F.max(vec.dot(F.col("embedding"), F.col("q"))).alias("m"))
     g = s.groupBy("topic").agg(F.count_if(F.col("m") >= 0.15).alias("above"))
     return g.select("topic", "above", (F.col("above") >= 3).alias("covered"))

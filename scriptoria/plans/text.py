@@ -131,11 +131,22 @@ def f24(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.remapped(t, numbers).alias("t"), F.array_join(tx.markers(t).cast("array<string>"), ",").alias("m"))
 
 
-@query("f25_prose_diff", "SELECT doc_id, (2 + (doc_id % 2)::INT)::INT AS words_added, 1 AS words_removed, 1 AS paragraphs_added, 0 AS paragraphs_removed, 1 AS citations_added, 0 AS citations_removed FROM documents")
+#: A revision of a text: one word replaced everywhere, one dropped, and a paragraph with a marker added.
+_REVISED_SQL = "regexp_replace(regexp_replace(text, '\\bthe\\b', 'this', 'g'), '\\bof\\b', '', 'g') || chr(10) || chr(10) || '[2] this is new'"
+
+
+@query(
+    "f25_prose_diff",
+    rf"""WITH x AS (SELECT doc_id, text AS a, {_REVISED_SQL} AS b FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, unnest(regexp_extract_all(a, '[^ \t\n\x0B\f\r]+')) AS w, -1 AS n FROM x UNION ALL SELECT doc_id, unnest(regexp_extract_all(b, '[^ \t\n\x0B\f\r]+')), 1 FROM x),
+g AS (SELECT doc_id, sum(greatest(n, 0))::INT AS added, sum(greatest(-n, 0))::INT AS removed FROM (SELECT doc_id, w, sum(n) AS n FROM w GROUP BY ALL) GROUP BY doc_id),
+p AS (SELECT doc_id, len(list_filter(regexp_split_to_array(a, '\n[ \t\n\x0B\f\r]*\n'), lambda t: trim(t) <> '')) AS pa, len(list_filter(regexp_split_to_array(b, '\n[ \t\n\x0B\f\r]*\n'), lambda t: trim(t) <> '')) AS pb, list_contains(regexp_extract_all(a, '\[(\d+)\]', 1), '2') AS had FROM x)
+SELECT doc_id, added AS words_added, removed AS words_removed, greatest(pb - pa, 0)::INT AS paragraphs_added, greatest(pa - pb, 0)::INT AS paragraphs_removed, (NOT had)::INT AS citations_added, 0 AS citations_removed FROM g JOIN p USING (doc_id)""",
+)
 def f25(spark, d):
-    before = F.lit("one two two [1]")
-    after = F.concat(F.lit("one two [1]\n\n[2] four"), F.when(F.col("doc_id") % 2 == 1, " five").otherwise(""))
-    return table(spark, d, "documents").select("doc_id", tx.prose_diff(before, after).alias("p")).select("doc_id", "p.*")
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    revised = F.concat(F.regexp_replace(F.regexp_replace("text", r"\bthe\b", "this"), r"\bof\b", ""), F.lit("\n\n[2] this is new"))
+    return t.select("doc_id", tx.prose_diff(F.col("text"), revised).alias("p")).select("doc_id", "p.*")
 
 
 @query("f27_length_score", r"SELECT doc_id, round(least(1.0, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) / 500.0), 6)::DOUBLE AS s FROM documents")

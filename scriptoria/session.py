@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,19 +22,38 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, driver_
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in the folder named by spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The context's folder for checkpoints, below the one named by spark.checkpoint.dir.
 
-    Only where neither the setting nor the context names a folder (tests on one
-    machine) a temporary one is set.
-    """
-    spark = df.sparkSession
+    Only a local session without that setting (tests on one machine) gets a temporary
+    folder; a cluster's executors could not read one, so there it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Eager reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def version_of(spark: SparkSession, path: str) -> str:
+    """A name for the present content of a file or folder: its files' places, sizes and times."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:24]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables under sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

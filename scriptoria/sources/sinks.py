@@ -6,10 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The shortlist's columns in their order.
-SHORTLIST_COLUMNS = (
-    "rank decision drop_reason rrf_score doi arxiv_id title year venue doc_type co_citation bib_coupling pagerank influential_cites cited_by velocity bge_m3_cosine citation_context_cosine citation_context_n "
-    "concept_overlap author_overlap venue_weight corpus_cites external_cites openalex_id"
-).split()
+SHORTLIST_COLUMNS = [
+    "rank",
+    "decision",
+    "drop_reason",
+    "rrf_score",
+    "doi",
+    "arxiv_id",
+    "title",
+    "year",
+    "venue",
+    "doc_type",
+    "co_citation",
+    "bib_coupling",
+    "pagerank",
+    "influential_cites",
+    "cited_by",
+    "velocity",
+    "bge_m3_cosine",
+    "citation_context_cosine",
+    "citation_context_n",
+    "concept_overlap",
+    "author_overlap",
+    "venue_weight",
+    "corpus_cites",
+    "external_cites",
+    "openalex_id",
+]
 
 
 def write_catalog(papers: DataFrame, path: str, kind: str = "csv") -> None:

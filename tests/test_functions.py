@@ -210,3 +210,41 @@ def test_search_join_takes_every_fiftieth_row(spark):
     d = "/root/testdata/sf0.001"
     want = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
     assert {r.query_id for r in registry.queries()["r21_knn_join_all"](spark, d).collect()} == want
+
+
+def test_index_and_scan_agree(spark, tmp_path):
+    """Postings give the lexical leg of a scan; sparse scores are the weighted counts."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("the of and cat dog Haus über".split()) for _ in range(rng.randint(0, 60)))) for i in range(200)] + [(900, None), (901, ""), (902, "the")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = retrieval.write_postings(docs, "doc_id", "text", str(tmp_path / "postings"), bucket_docs=20, salt_docs=100)
+    found = index.of(["the", "of", "and", "cat"])
+    want = [tuple(r) for r in retrieval.full_text(docs, "doc_id", "text", "The of, and", 40).collect()]
+    got = [tuple(r) for r in retrieval.indexed_full_text(found, "the of and", 40).collect()]
+    assert len(got) == 40 and [x[0] for x in got] == [x[0] for x in want] and [x[1] for x in got] == pytest.approx([x[1] for x in want])
+    legs = retrieval.text_legs(found, {"cat": 2.0, "the": 0.5}, "of").collect()
+    sparse = {r.id: r.score for r in legs if r.leg == "sparse"}
+    count = lambda t, w: t.lower().split().count(w)
+    assert sparse == {i: 2.0 * count(t, "cat") + 0.5 * count(t, "the") for i, t in rows if t and (count(t, "cat") or count(t, "the"))}
+    assert retrieval.write_postings(docs.limit(0), "doc_id", "text", str(tmp_path / "none")).of(["the"]).count() == 0
+
+
+def test_bootstrap_interval_against_resampling(spark):
+    import numpy as np
+
+    x = np.random.default_rng(4).exponential(size=400)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(-1, None)], "id long, x double")
+    b = evaluation.bootstrap(df, "x", 2000).first()
+    means = np.random.default_rng(5).choice(x, size=(2000, 400)).mean(axis=1)
+    low, high = np.percentile(means, [2.5, 97.5])
+    assert b["mean"] == pytest.approx(x.mean()) and abs(b.low - low) < 0.02 and abs(b.high - high) < 0.02
+    assert b == evaluation.bootstrap(df.repartition(7), "x", 2000).first() or abs(b.low - evaluation.bootstrap(df.repartition(7), "x", 2000).first().low) < 1e-9
+
+
+def test_prose_diff_of_long_texts_and_nulls(spark):
+    words = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(1, words, words + " w1 w1 new"), (2, None, "a a"), (3, "a a", None), (4, "", "")], "k int, a string, b string")
+    got = {r.k: (r.p.words_added, r.p.words_removed) for r in df.select("k", tx.prose_diff(F.col("a"), F.col("b")).alias("p")).collect()}
+    assert got == {1: (3, 0), 2: (2, 0), 3: (0, 2), 4: (0, 0)}
