@@ -119,3 +119,36 @@ def refinement_gate(section: Column, target: Column, hits: Column, outlined: Col
             F.when(target < 120, "decision_space"),
         )
     )
+
+
+def citation_quality(cites: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Per output: recall (share of cited sentences that their sources together entail) and
+    precision (share of citations in such sentences that are not irrelevant: alone they
+    don't entail and without them the others still do), in per cent. cites: (output,
+    sentence, source, together, alone, rest), probabilities of a model; rest is null where
+    no other source is cited."""
+    c = cites.select("output", "sentence", (F.col("together") >= threshold).alias("holds"), ((F.col("alone") < threshold) & F.coalesce(F.col("rest") >= threshold, F.lit(False))).alias("irrelevant"))
+    s = c.groupBy("output", "sentence").agg(F.bool_or("holds").alias("holds"), F.count("*").alias("n"), F.count_if(~F.col("irrelevant")).alias("used"))
+    return s.groupBy("output").agg(
+        F.round(100 * F.avg(F.col("holds").cast("int")), 1).alias("recall"),
+        F.round(100.0 * F.sum(F.when(F.col("holds"), F.col("used")).otherwise(0)) / F.sum("n"), 1).alias("precision"),
+        F.count("*").alias("sentences"),
+        F.sum("n").alias("citations"),
+    )
+
+
+def compare_paired(pairs: DataFrame, resamples: int = 2000) -> DataFrame:
+    """One row: both arms' success rates with their intervals and the paired test, from
+    (id, a_correct, b_correct)."""
+
+    def arm(x: str) -> DataFrame:
+        b = bootstrap(pairs.select("id", F.col(f"{x}_correct").cast("double").alias("x")), "x", resamples)
+        return b.select(*[F.col(c).alias(f"{x}_{c}") for c in ("mean", "low", "high")])
+
+    return arm("a").join(F.broadcast(arm("b"))).join(F.broadcast(mcnemar(pairs)))
+
+
+def hits_at(ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """P@1 and R@3 in per cent of (rank of the right item; null: not found)."""
+    within = lambda k: F.round(100 * F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")), 2)
+    return ranks.groupBy(*keys).agg(F.count("*").alias("n"), within(1).alias("p1"), within(3).alias("r3"))

@@ -65,3 +65,18 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     d = df.where(F.col(value).isNotNull()).join(F.broadcast(b))
     i = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)))
     return d.groupBy(i.cast("int").alias("bin"), "lo", "hi").agg(F.count("*").alias("n"))
+
+
+def scroll(df: DataFrame, key: str, after, size: int) -> DataFrame:
+    """The page of `size` rows that follows the key `after` (None: the first page)."""
+    return (df if after is None else df.where(F.col(key) > after)).orderBy(key).limit(size)
+
+
+def with_aliases(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """df with `name`, the canonical form of a column's value: aliases (canonical, variants)
+    and the values are compared trimmed and in lower case; unknown values stand for
+    themselves. A variant of two canonical names means the lesser one."""
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    flat = aliases.select(norm(F.col("canonical")).alias("_to"), F.explode(F.concat(F.array("canonical"), F.coalesce("variants", F.array()))).alias("v"))
+    flat = flat.groupBy(norm(F.col("v")).alias("_from")).agg(F.min("_to").alias("_to"))
+    return df.withColumn("_from", norm(F.col(column))).join(flat, "_from", "left").withColumn("name", F.coalesce("_to", "_from")).drop("_from", "_to")

@@ -156,7 +156,7 @@ def write_postings(docs: DataFrame, id_col: str, text_col: str, path: str, bucke
     p = t.mapInArrow(grouped, f"token string, id {id_kind}, weight double, places array<int>")
     p = p.withColumn("bucket", _bucket(F.col("token"), buckets)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(salts)))
     p.sortWithinPartitions("bucket", "token", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return Postings(docs.sparkSession.read.parquet(path), buckets)
+    return Postings(docs.sparkSession.read.schema(p.schema).parquet(path), buckets)
 
 
 def _bucket(token: Column, buckets: int) -> Column:
@@ -328,3 +328,9 @@ def mmr(candidates: DataFrame, top_k: int, trade: float = 0.7) -> DataFrame:
     able = F.coalesce(trade * F.col("score") + (1 - trade) >= trade * F.col("_least") - 1e-9, F.lit(True))
     kept = rows.join(least, F.col("group").eqNullSafe(F.col("_group")), "left").where(able).select("group", "id", "score", "concepts")
     return kept.groupBy("group").applyInPandas(choose, f"group {kinds['group']}, id {kinds['id']}, place int")
+
+
+def accepted_expansion(query: Column, expanded: Column, longest: int = 500) -> Column:
+    """An expander's answer if it is longer than the query and not too long, else the query."""
+    e = F.trim(expanded)
+    return F.when((F.length(e) > F.length(query)) & (F.length(e) <= longest), e).otherwise(query)
