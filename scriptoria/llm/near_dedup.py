@@ -6,17 +6,24 @@
    list of at most `short` classes yields its pairs of compatible sizes.
 3. The union sketch (k smallest of both sketches) estimates each pair's similarity;
    pairs far below the threshold (five standard errors) go.
-4. Classes whose values lie mostly in longer lists are compared within these lists: the
-   list is dealt into cells by set size and by blocks of at most `block` classes, every
-   pair of blocks meets in one task, and the shingle sets' intersections are counted by
-   a matrix product. A cell returns a spanning forest of its links, so a group of
-   thousands of near copies gives few rows, and no task holds an unbounded list.
-5. Every pair that is left is verified on the full sets (exact Jaccard).
+4. Classes whose values lie mostly in longer lists are compared within these lists, which
+   are dealt by set size. In each list and size the least class leads: the others are held
+   against it (exact Jaccard, linear in the list), and those that it links ("led") are one
+   component already. Only pairs with a class that isn't led, or whose leaders aren't linked,
+   are still to be compared: the list is dealt into cells of at most `block` classes a side,
+   and the shingle sets' intersections are counted by a matrix product. So a list of true
+   copies costs its length, and a list of texts that only share a passage its length times
+   the number of texts in it that aren't led, over the cell size. A cell returns a spanning
+   forest of its links, so a group of thousands of near copies gives few rows, and no task
+   holds an unbounded list. Sets keep their 64-bit values, so a cell's links are exact and
+   its forest loses none.
+5. Every pair of the short lists is verified on the full sets (exact Jaccard).
 6. Links are contracted to components by alternating large-star and small-star steps.
 
 Nothing is capped: a list of any length takes way 2 or way 4. Two linked classes stay
-apart only if they share none of the values by which they could meet (below 1e-5 for a
-single pair at the threshold itself, and near copies have many ways to meet).
+apart only if they share none of the values by which they could meet: for sets of equal
+size at the threshold itself below 1e-5; where one text is the other with a fifth added,
+0.2 ** meet, 2.6e-6. Near copies have many ways to meet.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; with
 fewer than n words the whole sequence is one shingle; equal texts, repeated rows and
@@ -126,7 +133,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, least: float) -> Da
 
 
 def _spanning(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets of 32-bit values."""
+    """A spanning forest of the links among sets of 64-bit values."""
     m = len(sets)
     values, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -159,25 +166,42 @@ def _spanning(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) ->
 
 
 def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, den: int, block: int) -> DataFrame:
-    """Links within long lists: pairs (a, b) that span each cell's links."""
+    """Links within long lists: pairs (a, b) that with their leaders' links span each list's
+    links among compatible sizes."""
     size = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num)))
     # a partner of compatible size lies in the same bucket of sizes or the next one: a
     # cell holds the members of its bucket ("own") and those of the one below ("low")
-    members = postings.select("value", "cid", size.cast("int").alias("size"))
-    counts = members.groupBy("value", "size").agg(F.count("*").alias("c"))
-    near = counts.select("value", (F.col("size") + 1).alias("size"), F.col("c").alias("below")).join(counts, ["value", "size"], "right")
-    near = near.join(counts.select("value", (F.col("size") - 1).alias("size"), F.col("c").alias("above")), ["value", "size"], "left").na.fill(0, ["below", "above"])
-    d = members.join(near.where("c + below + above > 1"), ["value", "size"])
+    members = cut_lineage(postings.select("value", "cid", size.cast("int").alias("size")))
+    leaders = members.groupBy("value", "size").agg(F.min("cid").alias("leader"))
+    below = leaders.select("value", (F.col("size") + 1).alias("size"), F.col("leader").alias("lower"))
+    held = members.join(leaders, ["value", "size"]).where("cid <> leader").select(F.col("leader").alias("a"), F.col("cid").alias("b"))
+    tied = leaders.join(below, ["value", "size"]).select(F.least("lower", "leader").alias("a"), F.greatest("lower", "leader").alias("b")).where("a <> b")
+    star = cut_lineage(_verified(held.union(tied).distinct(), texts, n, num, den))
+
+    lead = leaders.join(below, ["value", "size"], "left").join(star.select(F.col("a").alias("la"), F.col("b").alias("lb")), (F.least("lower", "leader") == F.col("la")) & (F.greatest("lower", "leader") == F.col("lb")), "left")
+    lead = lead.select("value", "size", "leader", (F.col("la").isNotNull() | (F.col("lower") == F.col("leader"))).alias("tied_down"))
+    d = members.join(lead, ["value", "size"]).join(star.select(F.col("a").alias("leader"), F.col("b").alias("cid"), F.lit(True).alias("_linked")), ["leader", "cid"], "left")
+    d = d.withColumn("led", F.coalesce("_linked", F.col("cid") == F.col("leader")))
+    # counts of led and other classes in the own bucket and the ones next to it
+    counts = cut_lineage(d.groupBy("value", "size").agg(F.count_if("led").alias("l"), F.count_if(~F.col("led")).alias("u"), F.first("tied_down").alias("tied")))
+    near = counts.join(counts.select("value", (F.col("size") + 1).alias("size"), F.col("l").alias("below_l"), F.col("u").alias("below_u")), ["value", "size"], "left")
+    near = near.join(counts.select("value", (F.col("size") - 1).alias("size"), F.col("l").alias("above_l"), F.col("u").alias("above_u"), F.col("tied").alias("above_tied")), ["value", "size"], "left")
+    near = near.na.fill(0, ["below_l", "below_u", "above_l", "above_u"]).na.fill(False, ["tied", "above_tied"])
+    d = d.select("value", "cid", "size", "led").join(near, ["value", "size"])
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    mine = F.pmod(F.xxhash64("cid"), blocks("c")).cast("int")
-    # own with own: each pair of blocks; own with low: each own block with each low block
-    pair = lambda i: F.concat_ws(":", F.lit("own"), F.least(mine, i), F.greatest(mine, i))
-    every = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
-    none = F.array().cast("array<struct<size:int,part:string>>")
-    cell = lambda s, part: F.struct(s.cast("int").alias("size"), part.alias("part"))
-    same = F.when(F.col("c") > 1, F.transform(every("c"), lambda i: cell(F.col("size"), pair(i)))).otherwise(none)
-    down = F.when(F.col("below") > 0, F.transform(every("below"), lambda i: cell(F.col("size"), F.concat_ws(":", F.lit("low"), mine, i)))).otherwise(none)
-    up = F.when(F.col("above") > 0, F.transform(every("above"), lambda i: cell(F.col("size") + 1, F.concat_ws(":", F.lit("low"), i, mine)))).otherwise(none)
+    count = F.when(F.col("led"), blocks("l")).otherwise(blocks("u"))
+    mine = F.concat(F.when(F.col("led"), "l").otherwise("u"), F.pmod(F.xxhash64("cid"), count).cast("string"))
+    names = lambda kind, c: F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0), blocks(c) - 1), lambda i: F.concat(F.lit(kind), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    cell = lambda at, part: F.struct(at.cast("int").alias("size"), part.alias("part"))
+    # own with own: blocks that aren't led with all; a led block only with those
+    partners = F.concat(names("u", "u"), F.when(F.col("led"), none).otherwise(names("l", "l")))
+    same = F.transform(partners, lambda o: cell(F.col("size"), F.concat_ws(":", F.lit("own"), F.least(mine, o), F.greatest(mine, o))))
+    # own with low: led blocks with led ones only where their leaders aren't linked
+    down = F.concat(names("u", "below_u"), F.when(F.col("led") & F.col("tied"), none).otherwise(names("l", "below_l")))
+    down = F.transform(down, lambda o: cell(F.col("size"), F.concat_ws(":", F.lit("low"), mine, o)))
+    up = F.concat(names("u", "above_u"), F.when(F.col("led") & F.col("above_tied"), none).otherwise(names("l", "above_l")))
+    up = F.transform(up, lambda o: cell(F.col("size") + 1, F.concat_ws(":", F.lit("low"), o, mine)))
     cells = d.select("value", "cid", F.explode(F.concat(same, down, up)).alias("at"))
     cells = cells.select("cid", F.xxhash64("value", "at.size", "at.part").alias("cell"))
     sets_schema = "cid long, n long, items binary"
@@ -185,18 +209,18 @@ def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, de
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
-            columns = [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([(s >> np.uint64(32)).astype("<u4").tobytes() for s in sets], type=pa.binary())]
+            columns = [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "items"])
 
-    sets = texts.select("cid", "text").mapInArrow(shingled, sets_schema)
+    sets = texts.select("cid", "text").join(cells.select("cid").distinct(), "cid", "left_semi").mapInArrow(shingled, sets_schema)
     filled = cells.join(sets, "cid")
 
     def within(table: pa.Table) -> pa.Table:
         cids = table.column("cid").to_pylist()
-        found = [(cids[i], cids[j]) for i, j in _spanning([np.unique(np.frombuffer(x, dtype="<u4")) for x in table.column("items").to_pylist()], np.array(table.column("n").to_pylist(), dtype=np.float64), num, den)]
+        found = [(cids[i], cids[j]) for i, j in _spanning([np.frombuffer(x, dtype="<u8") for x in table.column("items").to_pylist()], np.array(table.column("n").to_pylist(), dtype=np.float64), num, den)]
         return pa.table({"a": pa.array([min(p) for p in found], type=pa.int64()), "b": pa.array([max(p) for p in found], type=pa.int64())})
 
-    return filled.groupBy("cell").applyInArrow(within, "a long, b long").distinct()
+    return filled.groupBy("cell").applyInArrow(within, "a long, b long").union(star).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -263,7 +287,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> D
     return d.join(wanted, same).groupBy("cid").agg(F.first("text").alias("text"))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key_col: str = "doc_id", text_col: str = "text", k: int = 64, list_k: int = 32, short: int = 32, meet: int = 6, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key_col: str = "doc_id", text_col: str = "text", k: int = 64, list_k: int = 32, short: int = 32, meet: int = 8, block: int = 1024) -> DataFrame:
     """One row per input row: key, text_hash (xxhash64 of the text), n_shingles,
     component_id (the least key reachable over links of similarity num / den or more)
     and kept (the key is that least key)."""
@@ -288,8 +312,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     wanted = crowded.union(pairs.select(F.explode(F.array("a", "b")))).distinct()
     texts = cut_lineage(_texts(docs, classes.join(wanted, "cid", "left_semi").select("cid", "key", "text_hash"), key_col, text_col))
     spanning = _long_list_links(long, texts.join(crowded, "cid", "left_semi"), n, num, den, block)
-    pairs = cut_lineage(pairs.union(spanning).distinct())
-    roots = components(_verified(pairs, texts, n, num, den))
+    roots = components(_verified(pairs, texts, n, num, den).union(spanning))
 
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("digest", "least", F.coalesce("root", "cid").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -402,3 +402,31 @@ def test_a_stream_ends_in_unpadded_windows(spark):
     clash = spark.createDataFrame([(None, "a b", 1, 2), (None, None, 3, 4)], "doc_id long, text string, start int, sequence_id int")
     pieces = packing.pack(clash, PATH, with_ids=False).collect()
     assert sum(p.length for p in pieces) == 4 and {p.doc_tokens for p in pieces} == {1, 3} and {p.doc_id for p in pieces} == {None}
+
+
+@pytest.mark.parametrize("block", [1024, 4])
+def test_long_lists_of_copies_and_of_shared_passages(spark, block):
+    """Default list length: a group of near copies, one of texts that share half their words,
+    chains that drift away from the leader, and sizes around the buckets' edges."""
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randrange(10**6)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(100)]
+    texts = {}
+    for _ in range(60):
+        texts[len(texts)] = " ".join([*passage, *[word() for _ in range(60)]])
+    for _ in range(50):
+        t = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            t[rng.randrange(100)] = word()
+        texts[len(texts)] = " ".join(t + [word() for _ in range(rng.randrange(12))])
+    drift = list(base)
+    for _ in range(40):
+        drift[rng.randrange(100)] = word()
+        texts[len(texts)] = " ".join(drift)
+    keys = list(texts)
+    rng.shuffle(keys)
+    texts = dict(zip(keys, texts.values(), strict=True))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want, _ = brute_components(texts, 3, 85, 100)
+    got = near_dedup.near_duplicates(df, 3, 85, 100, block=block).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and 40 < len(set(want.values())) < 140
