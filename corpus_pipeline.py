@@ -17,7 +17,7 @@ from scriptoria.session import cut_lineage, table
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return docs.where(quality_rules.judgement(F.col("text"))["kept"])
+    return docs.where(quality_rules.judgement(F.col("text"), lang=F.col("lang"))["kept"])
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
