@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from scriptoria.functions import text as tx
+
 BLOCKS = "array<struct<type:string,text:string,text_level:int,table_body:string,list_items:array<string>,page_idx:int>>"
 
 
@@ -38,6 +43,63 @@ def block_sections(block_rows: DataFrame, key: str) -> DataFrame:
     return d.groupBy(key, "section").agg(F.max(F.when(F.col("is_heading"), F.col("text"))).alias("title"), F.array_join(body, "\n\n").alias("content"))
 
 
+# Block types of a layout tree that hold text, and those that are left out with
+# all below them. Blocks of any other type stand for their children.
+TEXT_BLOCKS = ("Text", "ListItem", "Caption", "Footnote", "Code", "Handwriting", "TextInlineMath")
+SKIPPED_BLOCKS = ("PageHeader", "PageFooter", "Figure", "Picture", "Form", "ComplexRegion", "TableOfContents", "Reference")
+_LEAVES = {"SectionHeader", "Table", "Equation", *TEXT_BLOCKS}
+
+
+def tree_blocks(tree: str | None) -> list[dict]:
+    """The text blocks of one layout tree in reading order, at any depth; none if the tree
+    is null or isn't a JSON object."""
+    try:
+        root = json.loads(tree or "null")
+    except (ValueError, RecursionError):
+        return []
+    out, left = [], list(reversed(root.get("children") or [])) if isinstance(root, dict) else []
+    while left:
+        node = left.pop()
+        if not isinstance(node, dict) or node.get("block_type") in SKIPPED_BLOCKS:
+            continue
+        if node.get("block_type") in _LEAVES:
+            out.append({"kind": node["block_type"], "html": node.get("html") or ""})
+        else:
+            left.extend(reversed(node.get("children") or []))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("html", T.StringType())])))
+def _tree_blocks(trees: pd.Series) -> pd.Series:
+    return trees.map(tree_blocks)
+
+
+def tree_text(tree: Column) -> Column:
+    """Plain text of a layout tree: headings as Markdown, tables by rows, blocks apart by an
+    empty line. A tree is walked in Python, its HTML is stripped in the JVM."""
+
+    def shown(b: Column) -> Column:
+        plain = tx.strip_html(b["html"])
+        text = F.when(b["kind"] == "SectionHeader", F.concat(F.lit("## "), plain)).when(b["kind"] == "Table", tx.table_to_text(b["html"])).otherwise(plain)
+        return F.when(plain != "", text)
+
+    return F.array_join(F.array_compact(F.transform(_tree_blocks(tree), shown)), "\n\n")
+
+
+def markdown_pages(spark: SparkSession, base: str, kinds: tuple[str, ...] = ("papers", "concepts", "synthesis")) -> DataFrame:
+    """(slug, kind, title, text) of the Markdown files base/<kind>/<slug>.md; the title is the
+    front matter's, null without one. Missing folders count as empty."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    there = [f"{base}/{k}" for k in kinds if hadoop.Path(f"{base}/{k}").getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(f"{base}/{k}"))]
+    if not there:
+        return spark.createDataFrame([], "slug string, kind string, title string, text string")
+    d = spark.read.option("pathGlobFilter", "*.md").text(there, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    part = lambda i: F.url_decode(F.replace(F.element_at(F.split("path", "/"), i), F.lit("+"), F.lit("%2B")))
+    front = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
+    title = F.nullif(F.regexp_extract(front, r"(?m)^title: (.*)$", 1), F.lit(""))
+    return d.select(F.regexp_replace(part(-1), r"\.md$", "").alias("slug"), part(-2).alias("kind"), title.alias("title"), F.col("value").alias("text"))
+
+
 def replay(log: DataFrame, key: Column, order: Column, value: Column) -> DataFrame:
     """Latest state per key of an append-only log; a null value deletes."""
     latest = log.groupBy(key.alias("key")).agg(F.max(F.struct(order.alias("o"), value.alias("v"))).alias("s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The shortlist's columns in their order.
@@ -34,6 +34,72 @@ SHORTLIST_COLUMNS = [
     "openalex_id",
 ]
 
+# The columns of the list of pending downloads in their order.
+PENDING_COLUMNS = [
+    "doi",
+    "title",
+    "authors",
+    "year",
+    "source_method",
+    "source_query",
+    "relevance_score",
+    "attempt_count",
+    "last_attempt_at",
+    "last_failure_reason",
+    "status",
+    "notes",
+    "created_at",
+]
+
+
+def pending_rows(pending: DataFrame, status: str | None = "pending") -> DataFrame:
+    """The pending list's columns in order, of one status (None: all); authors joined by
+    semicolons, missing columns null."""
+    kinds = dict(pending.dtypes)
+
+    def column(c: str) -> Column:
+        if c not in kinds:
+            return F.lit(None).cast("string").alias(c)
+        return F.array_join(c, "; ").alias(c) if kinds[c].startswith("array<string") else F.col(c)
+
+    chosen = pending if status is None else pending.where(F.col("status") == status)
+    return chosen.select(*[column(c) for c in PENDING_COLUMNS])
+
+
+def write_pending(pending: DataFrame, path: str, kind: str = "csv", status: str | None = "pending") -> None:
+    """The pending list as CSV with a header, or as JSON lines."""
+    if kind == "csv":
+        pending_rows(pending, status).write.mode("overwrite").csv(path, header=True)
+    else:
+        (pending if status is None else pending.where(F.col("status") == status)).write.mode("overwrite").json(path)
+
+
+def bench_lines(results: DataFrame, at: str, tag: str, order: str) -> DataFrame:
+    """(place, line): a run's results as JSON lines after a header with their number."""
+    rows = results.withColumn("_n", F.row_number().over(Window.orderBy(order)))
+    head = results.agg(F.count("*").alias("n_benchmarks")).select(F.lit(0).alias("place"), F.to_json(F.struct(F.lit("header").alias("_kind"), F.lit(at).alias("timestamp"), F.lit(tag).alias("tag"), "n_benchmarks")).alias("line"))
+    return head.unionByName(rows.select(F.col("_n").alias("place"), F.to_json(F.struct(*results.columns)).alias("line")))
+
+
+def write_bench(results: DataFrame, folder: str, at: str, tag: str, order: str) -> str:
+    """A run's lines below folder/<at>, and folder/latest that names them; returns the run's
+    place. One run's results are a report of bounded size, in one file."""
+    spark, place = results.sparkSession, f"{folder}/{at}"
+    lines = bench_lines(results, at, tag, order)
+    lines.coalesce(1).sortWithinPartitions("place").select("line").write.mode("overwrite").text(place)
+    spark.createDataFrame([(at, tag, place)], "timestamp string, tag string, file string").coalesce(1).write.mode("overwrite").json(f"{folder}/latest")
+    return place
+
+
+def write_run(tables: dict[str, DataFrame], folder: str, run: str) -> None:
+    """All tables of one ingest run below folder/<table>/run=<run>. Every table is replaced
+    whole for that run, so a run that failed half-way can be done again; readers see a run
+    once folder/_runs names it."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}/run={run}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(run,)], "run string").coalesce(1).write.mode("overwrite").json(f"{folder}/_runs/{run}")
+
 
 def write_catalog(papers: DataFrame, path: str, kind: str = "csv") -> None:
     """CSV with a header, or JSON lines; arrays become text joined by semicolons in CSV."""
