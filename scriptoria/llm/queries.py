@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import chat_format, decontaminate, html_extract, language_id, near_dedup, packing, quality_model, quality_rules, sharding, url_filters
+from scriptoria.llm import chat_format, decontaminate, hard_negatives, html_extract, language_id, near_dedup, packing, prefix_trie, quality_model, quality_rules, sharding, simhash, url_filters
 from scriptoria.llm.samples import fold
 from scriptoria.session import table
 
@@ -68,5 +68,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_model, op3_packing, op4_html_extract, op5_sharding, op6_near_dedup, op7_chat_format, op8_decontaminate, op9_quality_rules, op10_url_filter)}
-ORACLES = {"op7_chat_format": chat_format.oracle_select(), "op9_quality_rules": quality_rules.oracle_select(), "op10_url_filter": url_filters.oracle_select()}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, moved)
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality_model, op3_packing, op4_html_extract, op5_sharding, op6_near_dedup, op7_chat_format, op8_decontaminate, op9_quality_rules, op10_url_filter, op11_hard_negatives, op12_simhash, op13_prefix_trie)}
+ORACLES = {"op7_chat_format": chat_format.oracle_select(), "op9_quality_rules": quality_rules.oracle_select(), "op10_url_filter": url_filters.oracle_select(), "op11_hard_negatives": hard_negatives.oracle_select(), "op13_prefix_trie": prefix_trie.oracle_select()}
