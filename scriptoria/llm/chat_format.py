@@ -12,6 +12,10 @@ control string can occur; roles also write "%" as %25 and a line break as %0A. B
 are undone exactly by `read_back`. The loss mask is kept with the output: `segments`
 are its pieces in order, with `loss` true for assistant texts alone.
 
+Some fields may be left empty where others stay the same (OPTIONAL): an empty or blank
+`input` or `system` counts as unfilled, so a record with input "" is a plain instruction.
+An assistant's tool calls are its text, as JSON, where it says nothing else.
+
 Defined cases: a null text is empty, a null role is empty, a record whose fingerprint
 has no mapping gets null outputs and `layout` null (never dropped); equal turn numbers
 are ordered by role, then text; repeated rows stay; a null conversation id is a
@@ -34,14 +38,20 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 @dataclass(frozen=True)
 class Mapping:
     """paths: a record's filled fields. turns: (role, field paths joined by a blank line);
-    or messages: (array field, role field, text field, {source role: role})."""
+    or messages: (array field, role field, text field, {source role: role}), after a turn of
+    the field `system`, if it names one, and with the field `calls` of a message, as JSON,
+    where its text is null."""
 
     layout: str
     paths: tuple[str, ...]
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
     messages: tuple[str, str, str, tuple[tuple[str, str], ...]] | None = None
+    system: str | None = None
+    calls: str | None = None
 
 
+#: Fields that count as unfilled if they are empty or blank.
+OPTIONAL = ("input", "system")
 _SHARE = ("conversations", "from", "value", (("human", "user"), ("gpt", "assistant")))
 
 #: Mappings of common public layouts.
@@ -56,6 +66,16 @@ MAPPINGS = (
     Mapping("messages_no_role", ("messages[].content",), messages=("messages", "role", "content", ())),
     Mapping("messages_empty", ("messages",), messages=("messages", "role", "content", ())),
     Mapping("share", ("conversations[].from", "conversations[].value"), messages=_SHARE),
+    Mapping("system_messages", ("system", "messages[].role", "messages[].content"), messages=("messages", "role", "content", ()), system="system"),
+    Mapping("tool_messages", ("messages[].role", "messages[].content", "messages[].tool_calls"), messages=("messages", "role", "content", ()), calls="tool_calls"),
+    Mapping("tool_calls", ("messages[].role", "messages[].tool_calls"), messages=("messages", "role", "content", ()), calls="tool_calls"),
+    Mapping("system_tool_messages", ("system", "messages[].role", "messages[].content", "messages[].tool_calls"), messages=("messages", "role", "content", ()), system="system", calls="tool_calls"),
+    Mapping("system_share", ("system", "conversations[].from", "conversations[].value"), messages=_SHARE, system="system"),
+    Mapping("system_instruction", ("system", "instruction", "output"), (("system", ("system",)), ("user", ("instruction",)), ("assistant", ("output",)))),
+    Mapping("system_instruction_input", ("system", "instruction", "input", "output"), (("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
+    Mapping("query_answer", ("query", "answer"), (("user", ("query",)), ("assistant", ("answer",)))),
+    Mapping("question_answer", ("question", "answer"), (("user", ("question",)), ("assistant", ("answer",)))),
+    Mapping("text", ("text",), (("assistant", ("text",)),)),
 )
 
 
@@ -121,9 +141,14 @@ def _turns(m: Mapping, schema: T.StructType) -> Column | None:
             name = e[role]
             for a, b in renamed:
                 name = F.when(e[role] == a, F.lit(b)).otherwise(name)
-            return _turn(name, e[text])
+            said = e[text] if m.calls is None else F.coalesce(e[text], e[m.calls] if fields[m.calls] == T.StringType() else F.to_json(e[m.calls]))
+            return _turn(name, said)
 
-        return F.transform(F.col(f"`{array}`"), turn)
+        fields = {f.name: f.dataType for f in schema[array].dataType.elementType.fields}
+        if not {role, text, *[c for c in (m.calls,) if c]} <= set(fields) or (m.system and m.system not in top):
+            return None
+        said = F.transform(F.col(f"`{array}`"), turn)
+        return said if m.system is None else F.concat(F.array(_turn(F.lit("system"), F.col(f"`{m.system}`"))), said)
     if any(p not in top for _, ps in m.turns for p in ps):
         return None
     return F.array(*[_turn(F.lit(r), F.concat_ws("\n\n", *[F.col(f"`{p}`") for p in ps])) for r, ps in m.turns])
@@ -135,6 +160,9 @@ def format_chats(records: DataFrame, key_cols: list[str], mappings: tuple[Mappin
     schema = T.StructType([f for f in records.schema.fields if f.name not in key_cols])
     named = {p for m in mappings for p in m.paths}
     paths = {p: filled for p, filled in field_paths(schema).items() if p in named}
+    for p in OPTIONAL:
+        if p in paths and schema[p].dataType == T.StringType():
+            paths[p] = paths[p] & (F.trim(F.col(f"`{p}`")) != "")
 
     def mapped(print_: Column) -> Column:
         layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")

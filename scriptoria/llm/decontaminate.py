@@ -1,4 +1,4 @@
-"""Benchmark decontamination: word-pair seeds that miss no pair, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds join documents to items, then Smith-Waterman.
 
 Items are normalised to words (lower case, letters and digits only). A document holds an
 item if their Smith-Waterman score (match 2, mismatch -1, gap -1) reaches `min_score` of
@@ -8,19 +8,28 @@ The search gives what aligning every document with every item would give. Let an
 have m words and T = 2 m min_score. An alignment of M matches that loses X reaches T only
 if X <= 2 M - T. Its M - 1 steps from one match to the next lose X in all, so at most X / 2
 of them lose two or more and at least T / 2 - 1 lose one or nothing. Such a step goes on
-by one or two words on either side. So the ordered pairs of words one or two apart are
-seeds: at least T / 2 - 1 places of the document start a pair that the item has too, and
-all lie in a run of M + X <= 3 m - T words. Only such runs, with that many words on either
-side, are aligned. Where T / 2 - 1 is no more than 0 (items of one or two words at 0.5),
-each common word is a seed.
+by one or two words on either side. So with the ordered pairs of words one or two apart as
+seeds, at least need = T / 2 - 1 places of the item start a pair that the document has
+too, and they meet it at as many places in a run of M + X <= 3 m - T words. Where need is no
+more than 0 (items of one or two words at 0.5), each common word is a seed.
 
-Items are taken in blocks of at most `block_chars` characters, so what is broadcast is
-bounded; each block is one pass over the documents, which are never collected or shuffled.
+1. One pass counts how often the items' pairs occur in all documents.
+2. An item's need - 1 most frequent places are left out: at least one of any match is left.
+   The pairs of the other, rarest places are its seeds.
+3. A second pass gives the places where a document has a seed; a join on the seed's hash
+   names the items. Only the words around them (3 m - T on either side) go on.
+4. Pairs of document and item that have `need` places in a run are aligned.
+
+Either pass reads the texts once, whatever the size of the benchmark. Both look a pair up
+in a bitmap of fixed size (2 ** BITS bits, all that is broadcast) before anything leaves
+the task; items are never collected. A false hit of the bitmap ends in the join.
 
 Defined cases: null and empty texts match nothing; items of equal text are matched each;
 short items follow the same rule, so at 0.5 an item of one or two words is held by each
-document with one of them; repeated document rows count as one document (the same key)
-in the result; empty tables give an empty result.
+document with one of them; a null key is a key of its own, of documents as of items;
+repeated document rows count as one document (the same key) in the result; a very long text
+goes on as the words around its seeds; other columns, whatever their names, are not read;
+empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -28,16 +37,23 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptoria.session import cut_lineage
+
 CACHE_ENTRIES = 400_000
+#: The bitmap of pairs: 16 MB.
+BITS = 27
+#: Places are told by runs of so many words.
+RUN = 128
+#: Items of one document that are handled together.
+ITEMS_AT_ONCE = 256
 MATCH, MISMATCH, GAP = 2, 1, 1
 _STRIP = re.compile(r"[\W_]+")
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -83,104 +99,217 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, *at
 
 
-class Seeds:
-    """Seed hashes of the items, and for each item its least score, how many places of a
-    document must start a seed, and in a run of how many words."""
-
-    def __init__(self, items: list[np.ndarray], min_score: float) -> None:
-        m = np.array([len(h) for h in items], dtype=np.int64)
-        self.least = np.array([max(1, math.ceil(min_score * MATCH * k - 1e-9)) for k in m], dtype=np.int64)
-        places = (self.least + 1) // 2 - 1
-        self.need, self.span = np.maximum(places, 1), np.maximum(3 * m - self.least, 1)
-        self.words = bool((places <= 0).any())
-        of = [np.unique(np.concatenate([pairs(h, 1), pairs(h, 2)] if n > 0 else [pairs(h, 0)])) for h, n in zip(items, places, strict=True)]
-        keys = np.concatenate([*of, np.zeros(0, dtype=np.uint64)])
-        order = np.argsort(keys, kind="stable")
-        self.items = np.repeat(np.arange(len(of)), [len(x) for x in of])[order]
-        self.keys, first = np.unique(keys[order], return_index=True)
-        self.start = np.append(first, len(keys)).astype(np.int64)
-        # most pairs of a document are refused by one look into this table
-        bits = min(24, max(10, (32 * len(self.keys)).bit_length()))
-        self.mask = np.uint64((1 << bits) - 1)
-        self.table = np.zeros(1 << bits, dtype=bool)
-        self.table[self.keys & self.mask] = True
-
-    def _found(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items and places of the seeds among these hashes."""
-        at = np.flatnonzero(self.table[g & self.mask])
-        low = np.searchsorted(self.keys, g[at])
-        low[low == len(self.keys)] = 0
-        same = self.keys[low] == g[at] if len(self.keys) else np.zeros(0, dtype=bool)
-        at, low = at[same], low[same]
-        count = self.start[low + 1] - self.start[low]
-        first = np.repeat(self.start[low] - np.cumsum(count) + count, count)
-        return self.items[first + np.arange(len(first))], np.repeat(at, count)
-
-    def candidates(self, h: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Items that a document with these words may hold, and the words to align."""
-        found = [self._found(pairs(h, k)) for k in ((0, 1, 2) if self.words else (1, 2))]
-        width = len(h) + 1
-        hits = np.unique(np.concatenate([i * width + p for i, p in found]))
-        item, place = hits // width, hits % width
-        last = np.arange(len(hits)) + self.need[item] - 1
-        inside = np.flatnonzero(last < len(hits))
-        last = last[inside]
-        dense = inside[(item[last] == item[inside]) & (place[last] - place[inside] < self.span[item[inside]])]
-        out = []
-        for i in np.unique(item[dense]):
-            runs = dense[item[dense] == i]
-            mask = np.zeros(len(h) + 1, dtype=np.int64)
-            np.add.at(mask, np.maximum(place[runs] - self.span[i], 0), 1)
-            np.add.at(mask, np.minimum(place[runs + self.need[i] - 1] + self.span[i] + 1, len(h)), -1)
-            out.append((int(i), np.flatnonzero(np.cumsum(mask[:-1]) > 0)))
-        return out
-
-
-def _align(docs: DataFrame, items: list[tuple[object, str]], key_col: str, text_col: str, min_score: float, item_type: T.DataType) -> DataFrame:
-    """Per document row and item: score and the first and last word of the best alignment."""
-    schema = T.StructType([docs.schema[key_col], T.StructField("item_id", item_type), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
-    own = Words()
-    item_words = [word_hashes(own, t)[0] for _, t in items]
-    shared = docs.sparkSession.sparkContext.broadcast((Seeds(item_words, min_score), [i for i, _ in items], item_words))
-    item_arrow = pa.int64() if isinstance(item_type, T.LongType) else pa.int32() if isinstance(item_type, T.IntegerType) else pa.string()
+def limits(m: int, min_score: float) -> tuple[int, int, int, bool]:
+    """For an item of m words: the least score, how many places must start a common pair, in
+    a run of how many words, and whether single words are the seeds."""
+    least = max(1, math.ceil(min_score * MATCH * m - 1e-9))
+    places = (least + 1) // 2 - 1
+    return least, max(places, 1), max(3 * m - least, 1), places <= 0
+
+
+def item_words(items: DataFrame, min_score: float) -> DataFrame:
+    """(iid, words, least, need, span, single) of each distinct item with words; words are
+    their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, ids, item_words = shared.value
         words = Words()
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out = []
+            for iid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h, _ = word_hashes(words, text.as_py())
+                if len(h):
+                    out.append((iid, h.tobytes(), *limits(len(h), min_score)))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["iid", "words", "least", "need", "span", "single"])
+
+    return items.select("iid", "t").mapInArrow(run, "iid long, words binary, least long, need long, span long, single boolean")
+
+
+def item_places(items: DataFrame) -> DataFrame:
+    """(iid, need, single, place, hash): the pairs that start at each place of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for iid, words, need, single in zip(*(batch.column(c).to_pylist() for c in ("iid", "words", "need", "single")), strict=True):
+                h = np.frombuffer(words, dtype="<u8")
+                found = [pairs(h, k) for k in ((0,) if single else (1, 2))]
+                n = sum(map(len, found))
+                columns = [np.full(n, iid), np.full(n, need), np.full(n, single), np.concatenate([np.arange(len(x)) for x in found]), np.concatenate(found).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["iid", "need", "single", "place", "hash"])
+
+    return items.mapInArrow(run, "iid long, need long, single boolean, place long, hash long")
+
+
+class Bitmap:
+    """Which hashes may be wanted: those whose last bits are marked."""
+
+    def __init__(self, hashes: DataFrame, bits: int = BITS) -> None:
+        self.mask, width = np.uint64((1 << bits) - 1), min(15, bits)
+        place = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
+        bucket, bit = F.shiftright(place, width).cast("int"), place.bitwiseAND(F.lit((1 << width) - 1))
+        self.words = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
+        for r in hashes.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("marked")).collect():
+            marked = np.frombuffer(bytes(r.marked), dtype=np.uint8)[: (1 << width) // 8]
+            self.words[(r.bucket << width) // 8 :][: len(marked)] = marked
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be wanted."""
+        at = hashes & self.mask
+        return np.flatnonzero(self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def frequencies(docs: DataFrame, wanted: Bitmap, apart: tuple[int, ...]) -> DataFrame:
+    """(hash, n): how often the wanted pairs, and a few others, occur in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = Words(), [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([*held, np.zeros(0, dtype=np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                h, _ = word_hashes(words, text.as_py())
+                for k in apart:
+                    g = pairs(h, k)
+                    held.append(g[shared.value.hits(g)])
+                    size += len(held[-1])
+                if size > 1 << 20:
+                    yield counted()
+                    held, size = [], 0
+        yield counted()
+
+    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+def seed_hits(docs: DataFrame, wanted: Bitmap, apart: tuple[int, ...]) -> DataFrame:
+    """(key, text_hash, hash, run): the seeds of each document by runs of RUN words."""
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), *[T.StructField(c, T.LongType()) for c in ("text_hash", "hash", "run")]])
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            rows, hashes, runs = [], [], []
+            for row, text in enumerate(batch.column(2)):
+                h, _ = word_hashes(words, text.as_py())
+                for k in apart:
+                    g = pairs(h, k)
+                    at = shared.value.hits(g)
+                    if len(at):
+                        rows.append(np.full(len(at), row))
+                        hashes.append(g[at])
+                        runs.append(at // RUN)
+            if rows:
+                # several places of a pair in a run are one
+                found = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(hashes), np.concatenate(runs)], names="row,hash,run"))
+                at = pa.array(found["row"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found["hash"].copy().view(np.int64)), pa.array(found["run"].astype(np.int64))], names=["key", "text_hash", "hash", "run"])
+
+    return docs.select("key", "text_hash", "text").mapInArrow(run, schema)
+
+
+def near_words(docs: DataFrame) -> DataFrame:
+    """(key, iid, words, places): the words around the hits of each item of a document, from
+    rows with its text and items (iid, span, runs)."""
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("iid", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for row, (text, items) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 h, places = word_hashes(words, text.as_py())
-                for item, near in seeds.candidates(h):
-                    a = item_words[item]
-                    # where the runs break stand so many words that match nothing that no alignment goes on
-                    breaks = np.repeat(np.flatnonzero(np.diff(near) > 1) + 1, MATCH * len(a))
-                    b, at = np.insert(h[near], breaks, 0), np.insert(places[near], breaks, -1)
-                    best, i, j = smith_waterman(a, b)
-                    if best >= seeds.least[item]:
-                        _, _, back = smith_waterman(a[:i][::-1], b[:j][::-1])
-                        for x, y in zip(out, (key, ids[item], best / (MATCH * len(a)), int(at[j - back]), int(at[j - 1])), strict=True):
-                            x.append(y)
-            kinds = [batch.schema.field(0).type, item_arrow, pa.float64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)], names=[f.name for f in schema.fields])
-
-    return docs.select(F.col(f"`{key_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
-
-
-def matches(
-    docs: DataFrame, items: DataFrame, key_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = 0.5, block_chars: int = 16_000_000
-) -> DataFrame:
+                out = []
+                for item in items:
+                    mask = np.zeros(len(h) + 1, dtype=np.int64)
+                    for r in item["runs"]:
+                        mask[max(0, r * RUN - item["span"])] += 1
+                        mask[min(len(h), (r + 1) * RUN + item["span"] + 2)] -= 1
+                    near = np.flatnonzero(np.cumsum(mask[:-1]) > 0)
+                    gaps = np.flatnonzero(np.diff(near) > 1) + 1  # a word 0 stands for what is left out
+                    out.append((item["iid"], np.insert(h[near], gaps, 0).tobytes(), np.insert(places[near], gaps, -1).astype("<i4").tobytes()))
+                columns = list(zip(*out, strict=True))
+                keys = batch.column(0).take(pa.array([row] * len(out)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.binary()), pa.array(columns[2], type=pa.binary())], names=["key", "iid", "words", "places"])
+
+    return docs.select("key", "text", "items").mapInArrow(run, schema)
+
+
+def dense(h: np.ndarray, item: np.ndarray, need: int, span: int, single: bool) -> np.ndarray:
+    """The words of h near `need` places, in a run of span words, that start a pair of the item."""
+    kinds = (0,) if single else (1, 2)
+    own = np.concatenate([pairs(item, k) for k in kinds])
+    starts = np.zeros(len(h), dtype=bool)
+    for k in kinds:
+        g = pairs(h, k)
+        starts[: len(g)] |= np.isin(g, own)
+    at = np.flatnonzero(starts)
+    first, last = at[: max(0, len(at) - need + 1)], at[need - 1 :]
+    inside = last - first < span
+    mask = np.zeros(len(h) + 1, dtype=np.int64)
+    np.add.at(mask, np.maximum(first[inside] - span, 0), 1)
+    np.add.at(mask, np.minimum(last[inside] + span + 1, len(h)), -1)
+    return np.flatnonzero(np.cumsum(mask[:-1]) > 0)
+
+
+def aligned(near: DataFrame, key: T.DataType) -> DataFrame:
+    """(key, iid, score, first_word, last_word) of the near words that reach the least score."""
+    schema = T.StructType([T.StructField("key", key), T.StructField("iid", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            columns = (batch.column(c).to_pylist() for c in ("iid", "words", "places", "item", "least", "need", "span", "single"))
+            for row, (iid, words, places, item, least, need, span, single) in enumerate(zip(*columns, strict=True)):
+                h, at, a = np.frombuffer(words, dtype="<u8"), np.frombuffer(places, dtype="<i4"), np.frombuffer(item, dtype="<u8")
+                close = dense(h, a, need, span, single)
+                if not len(close):
+                    continue
+                # where the runs break stand so many words that match nothing that no alignment goes on
+                breaks = np.repeat(np.flatnonzero((np.diff(close) > 1) | (h[close][1:] == 0)) + 1, MATCH * len(a))
+                b, at = np.insert(h[close], breaks, 0), np.insert(at[close], breaks, -1)
+                best, i, j = smith_waterman(a, b)
+                if best >= least:
+                    _, _, back = smith_waterman(a[:i][::-1], b[:j][::-1])
+                    for x, y in zip(out, (row, iid, best / (MATCH * len(a)), int(at[j - back]), int(at[j - 1])), strict=True):
+                        x.append(y)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()]
+            rows, *rest = (pa.array(x, type=k) for x, k in zip(out, kinds, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *rest], names=[f.name for f in schema.fields])
+
+    return near.select("key", "iid", "words", "places", "item", "least", "need", "span", "single").mapInArrow(run, schema)
+
+
+def matches(docs: DataFrame, items: DataFrame, key_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_score: float = 0.5, bits: int = BITS) -> DataFrame:
     """One row per document key and item it holds: score (1 for a whole exact copy) and
-    the first and last of the document's words in the alignment. The item key is a
-    string, int or bigint."""
-    item_type = items.schema[item_col].dataType
-    i = items.select(F.col(f"`{item_col}`").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("t is not null")
-    total = i.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-2 * int(total) // block_chars))
-    results = []
-    for block in range(n_blocks):
-        own = sorted(((r.i, r.t) for r in i.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block).collect()), key=lambda r: (str(r[0]), r[1]))
-        results.append(_align(docs, own, key_col, text_col, min_score, item_type))
-    found = reduce(DataFrame.unionByName, results)
-    best = found.groupBy(key_col, "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("b"))
-    return best.select(key_col, "item_id", "b.score", "b.first_word", "b.last_word")
+    the first and last of the document's words in the alignment."""
+    text = F.col(f"`{text_col}`")
+    d = docs.select(F.col(f"`{key_col}`").alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where("text IS NOT NULL")
+    named = items.select(F.col(f"`{item_col}`").alias("item_id"), F.col(f"`{item_text_col}`").alias("t")).where("t IS NOT NULL").distinct()
+    named = cut_lineage(named.withColumn("iid", F.xxhash64("item_id", "t")))
+    known = cut_lineage(item_words(named, min_score))
+    places = cut_lineage(item_places(known))
+    apart = (0, 1, 2) if places.where("single").limit(1).count() else (1, 2)
+
+    often = frequencies(d, Bitmap(places, bits), apart)
+    weight = places.join(often, "hash", "left").groupBy("iid", "place", "need").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    turn = F.row_number().over(Window.partitionBy("iid").orderBy(F.desc("n"), "place"))
+    rare = weight.withColumn("turn", turn).where("turn >= need").select("iid", "place")
+    seeds = cut_lineage(places.join(rare, ["iid", "place"]).join(known.select("iid", "span"), "iid").select("hash", "iid", "span").distinct())
+
+    # the same seed of the same text counts once; a frequent seed's join is split as skewed
+    found = seed_hits(d, Bitmap(seeds, bits), apart).join(seeds, "hash").select("key", "text_hash", "iid", "span", "run").distinct()
+    found = found.groupBy("key", "text_hash", "iid", "span").agg(F.collect_set("run").alias("runs"))
+    found = found.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("key", "text_hash").orderBy("iid")) - 1) / ITEMS_AT_ONCE))
+    found = cut_lineage(found.groupBy("key", "text_hash", "part").agg(F.collect_list(F.struct("iid", "span", "runs")).alias("items")))
+    of = found.select(F.col("key").alias("k"), F.col("text_hash").alias("h"), "items")
+    once = d.join(of.select("k", "h").distinct(), d["key"].eqNullSafe(F.col("k")) & (d["text_hash"] == F.col("h")), "left_semi").dropDuplicates(["key", "text_hash"])
+    texts = once.join(of, once["key"].eqNullSafe(F.col("k")) & (once["text_hash"] == F.col("h")))
+
+    near = near_words(texts).join(known.select(F.col("iid"), F.col("words").alias("item"), "least", "need", "span", "single"), "iid")
+    hits = aligned(near, d.schema["key"].dataType).join(named.select("iid", "item_id"), "iid")
+    best = hits.groupBy("key", "item_id").agg(F.max(F.struct("score", "first_word", "last_word")).alias("b"))
+    return best.select(F.col("key").alias(key_col), "item_id", "b.score", "b.first_word", "b.last_word")

@@ -233,7 +233,7 @@ def test_decontamination(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 0), (2, 1), *((100 + i, 3) for i in range(50))}
     first = next(r for r in got if r.doc_id == 1)
     assert (first.score, first.first_word, first.last_word) == (1.0, 50, 79)
-    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(df, it, block_chars=100).collect()} == {(r.doc_id, r.item_id) for r in got}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(df, it, bits=6).collect()} == {(r.doc_id, r.item_id) for r in got}
     assert decontaminate.matches(df.limit(0), it).count() == 0 and decontaminate.matches(df, it.limit(0)).count() == 0
 
 

@@ -182,3 +182,24 @@ def test_shards_are_the_rendezvous_winners(spark):
     for shard in range(3):
         assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
     assert sharding.shard(df.limit(0), weights).count() == 0
+
+
+def test_chats_with_empty_optional_fields_and_more_layouts(spark):
+    rows = [
+        ("a", {"instruction": "Name three colours.", "input": "", "output": "red"}, [("user", "Name three colours."), ("assistant", "red")]),
+        ("b", {"instruction": "Name", "input": "  ", "output": "x", "system": ""}, [("user", "Name"), ("assistant", "x")]),
+        ("c", {"instruction": "Name", "input": "three", "output": "x", "system": "Be brief"}, [("system", "Be brief"), ("user", "Name\n\nthree"), ("assistant", "x")]),
+        ("d", {"system": "S", "messages": [("user", "hi", None), ("assistant", "ok", None)]}, [("system", "S"), ("user", "hi"), ("assistant", "ok")]),
+        ("e", {"system": "", "messages": [("user", "hi", None)]}, [("user", "hi")]),
+        ("f", {"messages": [("user", "sum", None), ("assistant", None, [("add", "1,2")]), ("tool", "3", None)]}, [("user", "sum"), ("assistant", '[{"name":"add","arguments":"1,2"}]'), ("tool", "3")]),
+        ("g", {"query": "q", "answer": "a"}, [("user", "q"), ("assistant", "a")]),
+        ("h", {"question": "q", "answer": "a"}, [("user", "q"), ("assistant", "a")]),
+        ("i", {"text": "plain"}, [("assistant", "plain")]),
+        ("j", {"prompt": "", "response": "r"}, [("user", ""), ("assistant", "r")]),
+        ("k", {"answer": "alone"}, None),
+    ]
+    fields = ("instruction", "input", "output", "system", "query", "question", "answer", "text", "prompt", "response")
+    schema = "id string, " + ", ".join(f"{f} string" for f in fields) + ", messages array<struct<role:string,content:string,tool_calls:array<struct<name:string,arguments:string>>>>"
+    df = spark.createDataFrame([(k, *[v.get(f) for f in fields], v.get("messages")) for k, v, _ in rows], schema)
+    got = {r.id: r.turns for r in chat_format.format_chats(df, ["id"]).select("id", chat_format.read_back(F.col("formatted")).alias("turns")).collect()}
+    assert {k: None if v is None else [tuple(t) for t in v] for k, v in got.items()} == {k: want for k, _, want in rows}

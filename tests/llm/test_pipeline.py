@@ -69,3 +69,21 @@ def test_run_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").where(F.lit(False)).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_null_keys_and_repeats(spark):
+    stage = dict(corpus_pipeline.STAGES)
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("text IS NOT NULL").first().text
+    clean = " ".join(f"a{i} sentence{i % 7} of{i % 11} its own" for i in range(60))
+    copy, long_text = clean + " and one more", "very long text " * 40_000
+    rows = [(1, clean), (2, copy), (None, clean), (1, clean), (None, "quite another text with words of its own"), (None, "quite another text with words of its own"), (3, None), (4, ""), (5, item), (None, item), (5, long_text)]
+    names = ("score", "lang_pred", "_hash", "key", "row", "text_hash", "c0", "component_id")
+    df = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string").withColumns({n: F.lit(f"keep {n}") for n in names})
+    for name in ("quality_rules", "language_id", "near_dedup", "decontaminate"):
+        got = stage[name](spark, df, SMALL)
+        assert got.columns == df.columns
+        assert all(r[n] == f"keep {n}" for r in got.collect() for n in names)
+    left = sorted(((r.doc_id, r.text) for r in stage["near_dedup"](spark, df, SMALL).collect()), key=str)
+    assert left == sorted({(1, clean), (None, rows[4][1]), (3, None), (4, ""), (5, item), (5, long_text)}, key=str)
+    left = sorted(((r.doc_id, r.text) for r in stage["decontaminate"](spark, df, SMALL).collect()), key=str)
+    assert left == sorted([r for r in rows if r[1] != item], key=str)
