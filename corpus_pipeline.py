@@ -2,12 +2,19 @@
 
 Stages take and return documents (the last one returns packed pieces). run() joins
 them with a checkpoint after each stage; other drivers may write Parquet instead.
+
+Defined cases: a row is named by its key and its text, so rows with a null key are judged
+each by its own text, and of rows that repeat key and text near-dedup leaves one; a group
+of near duplicates is led by its least key, rows without a key coming last; null and empty
+texts are rejected by the quality rules; a label is only read where it isn't null; a very
+long text goes through whole; extra columns pass unchanged, whatever their names; an empty
+table gives no pieces, and without labelled rows no language is known, so nothing passes.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.llm import decontaminate, language_id, near_dedup, packing, quality_rules
@@ -20,26 +27,43 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.where(quality_rules.judgement(F.col("text"), lang=F.col("lang"))["kept"])
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., so that no operator's column can clash, and the new
+    name of each old one."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def row_key(key: Column, text: Column) -> Column:
+    """A name for a row that is never null: its key, null ones last, and its text's hash."""
+    return F.struct(key.isNull().alias("no_key"), F.coalesce(key, F.lit(0)).alias("key"), F.xxhash64(text).alias("text_hash"))
+
+
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a score of one half or more."""
-    model = language_id.train(docs.where(fold(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang")
-    known = language_id.identify(docs, model, docs.columns)
-    return known.where("lang_pred <> 'und' AND score >= 0.5").select(*docs.columns)
+    d, names = renamed(docs)
+    key, text, lang = (names[c] for c in ("doc_id", "text", "lang"))
+    model = language_id.train(d.where(fold(F.col(key), 4) != 2), key, text, lang)
+    known = language_id.identify(d, model, d.columns, text)
+    return known.where("lang_pred <> 'und' AND score >= 0.5").select(*d.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on five-word
     shingles; of rows that repeat key and text, one stays."""
-    found = near_dedup.near_duplicates(docs, n=5, num=80, den=100)
-    gone = found.where("NOT kept").select("doc_id", F.col("text_hash").alias("_hash")).distinct()
-    d = docs.withColumn("_hash", F.xxhash64("text"))
-    return d.join(gone, ["doc_id", "_hash"], "left_anti").dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    d, names = renamed(docs)
+    d = d.withColumn("row", row_key(F.col(names["doc_id"]), F.col(names["text"])))
+    found = near_dedup.near_duplicates(d, n=5, num=80, den=100, key_col="row", text_col=names["text"])
+    gone = found.where("NOT kept").select("row").distinct()
+    return d.join(gone, "row", "left_anti").dropDuplicates(["row"]).select(*names.values()).toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    d, names = renamed(docs)
+    d = d.withColumn("row", row_key(F.col(names["doc_id"]), F.col(names["text"])))
+    found = decontaminate.matches(d, table(spark, sf_dir, "benchmark").select("item_id", "text"), key_col="row", text_col=names["text"])
+    return d.join(found.select("row").distinct(), "row", "left_anti").select(*names.values()).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
