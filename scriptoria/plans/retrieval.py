@@ -90,16 +90,6 @@ def r4(spark, d):
     return ops.indexed_full_text(_postings(spark, d, ["the", "of", "and"]), "the of and", 50)
 
 
-@query(
-    "r5_weighted_full_text",
-    "WITH x AS (SELECT doc_id, lower(split_part(text, '.', 1)) AS a, lower(text) AS b, lower(source) AS dd FROM documents) SELECT doc_id, round(1.0 * len(regexp_extract_all(a, 'the')) + 0.4 * len(regexp_extract_all(b, 'the')) + 0.1 * len(regexp_extract_all(dd, 'src1')), 4) AS score FROM x",
-)
-def r5(spark, d):
-    n = lambda c, p: F.regexp_count(F.lower(c), F.lit(p))
-    title = F.split_part("text", F.lit("."), F.lit(1))
-    return table(spark, d, "documents").select("doc_id", F.round(1.0 * n(title, "the") + 0.4 * n(F.col("text"), "the") + 0.1 * n(F.col("source"), "src1"), 4).alias("score"))
-
-
 FUSED_SQL = f"""{DENSE_SQL}, {SPARSE_SQL}, s50 AS (SELECT id, score FROM sparse ORDER BY score DESC, id LIMIT 50),
 d AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM dense), s AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM s50),
 fused AS (SELECT id, sum(w)::DOUBLE AS score FROM (SELECT id, 1.0::DOUBLE / (60 + r) AS w FROM d UNION ALL SELECT id, 0.5::DOUBLE / (60 + r) FROM s) GROUP BY id)"""

@@ -79,20 +79,6 @@ def f14(spark, d):
     return table(spark, d, "part").where("p_brand <> p_type").select("p_partkey", tx.inverted_abstract(m).alias("t"))
 
 
-@query("f15_j9_title_match")
-def f15(spark, d):
-    """Links between classes of equal titles (a: the least document), whole titles, for
-    classes whose keys begin with the same six letters. This block is the operator's limit:
-    titles that differ there don't meet."""
-    title = F.trim(F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^.\n]*", 0))
-    t = table(spark, d, "documents").select("doc_id", title.alias("title"), F.substring(tx.title_key(title), 1, 6).alias("block")).where("title <> ''")
-    c = t.groupBy("title", "block").agg(F.min("doc_id").alias("doc"), F.count("*").alias("size"))
-    a, b = c.select("block", "doc", "title", "size"), c.select("block", F.col("doc").alias("other"), F.col("title").alias("other_title"), F.col("size").alias("other_size"))
-    s = a.join(b, "block").where("doc < other").withColumn("similarity", tx.title_similarity("title", "other_title"))
-    s = s.withColumn("tier", tx.accepted_tier(F.col("similarity"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean"), F.lit(None).cast("double")))
-    return s.where("tier IS NOT NULL").select("doc", "size", "other", "other_size", F.round("similarity", 4).alias("similarity"))
-
-
 @query(
     "j9_accepted_tiers",
     "WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity / 50.0 AS t, l_returnflag = 'A' AS au, CASE l_linestatus WHEN 'O' THEN l_linenumber > 2 END AS y, l_discount * 10 AS ab FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN t >= 0.85 THEN 1 WHEN au AND t >= 0.75 AND coalesce(y, true) THEN 2 WHEN ab >= 0.85 THEN 3 WHEN t >= 0.65 AND ab >= 0.65 THEN 4 END AS tier FROM x",
