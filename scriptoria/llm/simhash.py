@@ -155,7 +155,7 @@ def parts_for(classes: int, radius: int) -> int:
         probes = [ball(size, each - 1 + (i < more)) if each + (i < more) else 0 for i in range(m)]
         return sum(probes) * (1 + 0.1 * classes / 2**size)
 
-    return min(range(2, 6), key=cost)
+    return min(range(2, 5), key=cost)
 
 
 def _flips(part: list[int], t: int) -> np.ndarray:
