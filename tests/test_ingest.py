@@ -57,6 +57,15 @@ def test_promoted_lessons(spark):
         ("The ice has melted in the north; the sea has risen by one metre", ["The ice has melted in the north", "the sea has risen by one metre"]),
         ("The ice has melted fast, and rain has fallen in the south", ["The ice has melted fast", "rain has fallen in the south"]),
         ("We took red, and blue; green", ["We took red, and blue; green"]),
+        ("ice is gone; sea is up;", ["ice is gone", "sea is up;"]),
+        ("The  sun is weak — the ice  grows now", ["The  sun is weak", "the ice  grows now"]),
+        ("One two three, but Rome was lost", ["One two three", "Rome was lost"]),
+        ("One two three, but rain will fall", ["One two three, but rain will fall"]),
+        ("One two three, and rain will fall", ["One two three", "rain will fall"]),
+        ("a b c; d e f; g h i; j k l; m n o", ["a b c", "d e f", "g h i", "j k l"]),
+        ("a b c; d e; f g h", ["a b c; d e; f g h"]),
+        ("a b; c", ["a b; c"]),
+        (None, []),
     ],
 )
 def test_clauses(spark, sentence, clauses):
@@ -67,6 +76,20 @@ def test_plan_points(spark):
     assert one(spark, ingest.plan_points(F.lit("- first point is long enough\n- second point is long enough\n- x"))) == ["first point is long enough", "second point is long enough"]
     assert one(spark, ingest.plan_points(F.lit("A sentence that is long. Another one that is long."))) == ["A sentence that is long.", "Another one that is long."]
     assert one(spark, ingest.plan_points(F.lit("too short"))) == []
+    assert ingest.plan_list("What comes before\n* one point of the plan\n  goes on here\n\n• the other point of it") == ["What comes before", "one point of the plan\n  goes on here", "the other point of it"]
+    assert ingest.plan_list("it covers the ice cores; the tree rings of Norway | and the corals of Fiji") == ["it covers the ice cores", "the tree rings of Norway", "and the corals of Fiji"]
+    assert ingest.plan_list("one two e.g. three four five. and no capital") == ["one two e.g. three four five. and no capital"]
+    assert ingest.plan_list(None) == [] and ingest.plan_list("- etc.\n- i.e.\n- too short") == ["- etc.\n- i.e.\n- too short"]
+
+
+def test_file_dois(spark):
+    for path, doi in (("a/10.1234_x5.pdf", "10.1234/x5"), ("10.1234-x5.PDF", "10.1234/x5"), ("10.1234%2Fx5", "10.1234/x5"), ("10.12345_j.q_1-2.pdf", "10.12345/j.q_1-2"), ("paper.pdf", None), (None, None), ("10.1234.pdf", None)):
+        assert one(spark, ingest.file_doi(F.lit(path).cast("string"))) == doi, path
+
+
+def test_numbered_references_end_at_the_next_heading(spark):
+    text = "# Intro\n## Works  Cited\n[1] Smith, J. (2001). A title that is long\nenough and goes on. J.\n2. Doe, A. (2002). Another title that is long enough. K.\n[3] short\n### Notes\n[4] Not, A. (2003). A reference that comes too late. L."
+    assert one(spark, ingest.reference_entries(F.lit(text))) == ["[1] Smith, J. (2001). A title that is long\nenough and goes on. J.", "2. Doe, A. (2002). Another title that is long enough. K."]
 
 
 def test_references_without_numbers_and_without_a_list(spark):
