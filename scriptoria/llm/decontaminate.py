@@ -21,7 +21,7 @@ more than 0 (items of one or two words at 0.5), each common word is a seed.
 4. Pairs of document and item that have `need` places in a run are aligned.
 
 Either pass reads the texts once, whatever the size of the benchmark. Both look a pair up
-in a bitmap of fixed size (2 ** BITS bits, all that is broadcast) before anything leaves
+in a bitmap of at most 2 ** BITS bits (all that is broadcast) before anything leaves
 the task; items are never collected. A false hit of the bitmap ends in the join.
 
 Defined cases: null and empty texts match nothing; items of equal text are matched each;
@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +48,6 @@ from pyspark.sql import types as T
 
 from scriptoria.session import cut_lineage
 
-CACHE_ENTRIES = 400_000
 #: The bitmap of pairs: 16 MB.
 BITS = 27
 #: Places are told by runs of so many words.
@@ -55,26 +55,100 @@ RUN = 128
 #: Items of one document that are handled together.
 ITEMS_AT_ONCE = 256
 MATCH, MISMATCH, GAP = 2, 1, 1
-_STRIP = re.compile(r"[\W_]+")
+#: What isn't in a word: all but letters, digits and the white space that parts words.
+_DROPPED = re.compile(r"[^\w \t\n\r\x0b\x0c]|_")
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Words(dict):
-    """Word -> 8 bytes of the hash of its letters and digits; zeros if it has none."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        text = _STRIP.sub("", word.decode("utf-8", "replace").lower())
-        found = self[word] = xxhash.xxh64_digest(text) if text else bytes(8)
-        return found
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each character."""
+    x = (codes.astype(np.uint64) + np.uint64(1)) * A
+    x = (x ^ (x >> np.uint64(29))) * B
+    return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(words: Words, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+#: What a character below 256 is: 0 parts words, 1 belongs to one, 2 is left out; and its value.
+_KIND = np.array([0 if chr(c) in " \t\n\r\v\f" else 1 if chr(c).isalnum() else 2 for c in range(256)], dtype=np.uint8)
+_VALUE = _mixed(np.arange(256))
+#: Characters that are hashed in one array; bounds the memory beside a text's own.
+AT_ONCE = 1 << 16
+
+
+def _hash_codes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first character) of each run of characters between white space; 0 for one
+    without letters or digits. A word's hash is a polynomial of its characters' values,
+    mixed. Codes are bytes, or numbers of 32 bits where what isn't in a word is below 256."""
+    wide = codes.dtype != np.uint8
+    kind = np.where(codes < 256, _KIND.take(codes, mode="clip"), np.uint8(1)) if wide else _KIND.take(codes)
+    inside = kind > 0
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    starts = np.flatnonzero(start)
+    found = np.zeros(len(starts), dtype=np.uint64)
+    kept = np.flatnonzero(kind == 1)
+    if len(kept):
+        word = np.cumsum(start, dtype=np.int32).take(kept)
+        new = np.flatnonzero(np.diff(word, prepend=np.int32(0)))
+        lengths = np.diff(np.append(new, len(kept)))
+        place = np.arange(len(kept), dtype=np.int32) - np.repeat(new.astype(np.int32), lengths)
+        powers = np.full(int(lengths.max()), A, dtype=np.uint64)
+        powers[0] = 1
+        own = codes.take(kept)
+        total = np.add.reduceat((_mixed(own) if wide else _VALUE.take(own)) * np.multiply.accumulate(powers).take(place), new)
+        total = (total ^ (total >> np.uint64(32))) * B
+        found[word[new] - 1] = np.maximum(total ^ (total >> np.uint64(29)), np.uint64(1))
+    return found, starts
+
+
+def _part(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of each run between white space of encoded texts."""
+    ends = np.cumsum([len(t) // width + 1 for t in texts], dtype=np.int64)
+    line = "\n".encode("latin-1" if width == 1 else "utf-32-le")
+    codes = np.frombuffer(line.join(texts), dtype=np.uint8 if width == 1 else np.uint32)
+    spaces = np.flatnonzero(_KIND.take(codes, mode="clip") == 0) if len(codes) > AT_ONCE else codes[:0]
+    hashes, starts, low = [], [], 0
+    while low < len(codes):
+        high = len(codes)
+        if high - low > AT_ONCE:  # cut behind the last space, or behind a word of that length
+            k = np.searchsorted(spaces, low + AT_ONCE)
+            k = k - 1 if k and spaces[k - 1] > low else k
+            high = int(spaces[k]) + 1 if k < len(spaces) else high
+        h, at = _hash_codes(codes[low:high])
+        hashes.append(h)
+        starts.append(at + low)
+        low = high
+    h, at = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)]), np.concatenate([*starts, np.zeros(0, dtype=np.int64)])
+    return h, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, np.concatenate([[0], ends]))))
+
+
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of all words that have letters or digits, in order. Hashes are of
+    lower-case letters and digits alone."""
+    narrow, wide, of_narrow, of_wide = [], [], [], []
+    for i, t in enumerate(texts):
+        low = (t or "").lower()
+        try:
+            narrow.append(low.encode("latin-1"))
+            of_narrow.append(i)
+        except UnicodeEncodeError:
+            wide.append(_DROPPED.sub("\1", low).encode("utf-32-le", "replace"))
+            of_wide.append(i)
+    h, row = _part(narrow, 1)
+    row = np.array(of_narrow, dtype=np.int64)[row]
+    if wide:
+        more, own = _part(wide, 4)
+        h, row = np.concatenate([h, more]), np.concatenate([row, np.array(of_wide, dtype=np.int64)[own]])
+        order = np.argsort(row, kind="stable")
+        h, row = h[order], row[order]
+    place = np.arange(len(h)) - np.searchsorted(row, row)
+    kept = np.flatnonzero(h)
+    return h[kept], row[kept], place[kept]
+
+
+def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's words that have letters or digits, and their places."""
-    if len(words) > CACHE_ENTRIES:
-        words.clear()
-    h = np.frombuffer(b"".join(map(words.__getitem__, (text or "").encode("utf-8", "replace").split())), dtype="<u8")
-    places = np.flatnonzero(h)
-    return h[places], places
+    h, _, place = hashed([text])
+    return h, place
 
 
 def pairs(h: np.ndarray, apart: int) -> np.ndarray:
@@ -112,11 +186,10 @@ def item_words(items: DataFrame, min_score: float) -> DataFrame:
     their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             out = []
             for iid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, _ = word_hashes(words, text.as_py())
+                h, _ = word_hashes(text.as_py())
                 if len(h):
                     out.append((iid, h.tobytes(), *limits(len(h), min_score)))
             columns = list(zip(*out, strict=True)) or [()] * 6
@@ -141,22 +214,57 @@ def item_places(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "iid long, need long, single boolean, place long, hash long")
 
 
+def bits_for(hashes: int, most: int) -> int:
+    """Bits of a bitmap that marks few others, small enough for a processor's cache."""
+    return min(most, max(6, (64 * hashes).bit_length()))
+
+
 class Bitmap:
     """Which hashes may be wanted: those whose last bits are marked."""
 
-    def __init__(self, hashes: DataFrame, bits: int = BITS) -> None:
+    def __init__(self, hashes: DataFrame, most: int = BITS) -> None:
+        bits = bits_for(hashes.count(), most)
         self.mask, width = np.uint64((1 << bits) - 1), min(15, bits)
         place = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
         bucket, bit = F.shiftright(place, width).cast("int"), place.bitwiseAND(F.lit((1 << width) - 1))
-        self.words = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
+        marks = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
         for r in hashes.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("marked")).collect():
             marked = np.frombuffer(bytes(r.marked), dtype=np.uint8)[: (1 << width) // 8]
-            self.words[(r.bucket << width) // 8 :][: len(marked)] = marked
+            marks[(r.bucket << width) // 8 :][: len(marked)] = marked
+        self.marks = np.unpackbits(marks, bitorder="little").view(bool) if bits <= 24 else marks
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the hashes that may be wanted."""
-        at = hashes & self.mask
-        return np.flatnonzero(self.words[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+        at = (hashes & self.mask).view(np.int64)
+        if self.marks.dtype == bool:
+            return np.flatnonzero(self.marks.take(at))
+        return np.flatnonzero(self.marks.take(at >> 3) >> (at & 7).astype(np.uint8) & 1)
+
+
+def batch_hits(texts: pa.Array, wanted: Bitmap, apart: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, hash) of the wanted pairs of a batch of texts, all texts in one array."""
+    h, row, _ = hashed(texts.to_pylist())
+    first = np.searchsorted(row, np.arange(len(texts)))
+    rows, places, hashes = [], [], []
+    for k in apart:
+        g = pairs(h, k) if len(h) > k else h[:0]
+        at = wanted.hits(g)
+        at = at[row[at] == row[at + k]]  # no pair goes on into the next text
+        rows.append(row[at])
+        places.append(at - first[row[at]])
+        hashes.append(g[at])
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(hashes)
+
+
+def portions(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about AT_ONCE bytes of the column `text`."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + AT_ONCE)))
+            yield batch.slice(low, high - low)
+            low = high
 
 
 def frequencies(docs: DataFrame, wanted: Bitmap, apart: tuple[int, ...]) -> DataFrame:
@@ -164,22 +272,18 @@ def frequencies(docs: DataFrame, wanted: Bitmap, apart: tuple[int, ...]) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
+        held, size = [], 0
 
         def counted() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate([*held, np.zeros(0, dtype=np.uint64)]), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["hash", "n"])
 
-        for batch in batches:
-            for text in batch.column(0):
-                h, _ = word_hashes(words, text.as_py())
-                for k in apart:
-                    g = pairs(h, k)
-                    held.append(g[shared.value.hits(g)])
-                    size += len(held[-1])
-                if size > 1 << 20:
-                    yield counted()
-                    held, size = [], 0
+        for batch in portions(batches, 0):
+            held.append(batch_hits(batch.column(0), shared.value, apart)[2])
+            size += len(held[-1])
+            if size > 1 << 20:
+                yield counted()
+                held, size = [], 0
         yield counted()
 
     return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -191,23 +295,14 @@ def seed_hits(docs: DataFrame, wanted: Bitmap, apart: tuple[int, ...]) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            rows, hashes, runs = [], [], []
-            for row, text in enumerate(batch.column(2)):
-                h, _ = word_hashes(words, text.as_py())
-                for k in apart:
-                    g = pairs(h, k)
-                    at = shared.value.hits(g)
-                    if len(at):
-                        rows.append(np.full(len(at), row))
-                        hashes.append(g[at])
-                        runs.append(at // RUN)
-            if rows:
-                # several places of a pair in a run are one
-                found = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(hashes), np.concatenate(runs)], names="row,hash,run"))
-                at = pa.array(found["row"])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found["hash"].copy().view(np.int64)), pa.array(found["run"].astype(np.int64))], names=["key", "text_hash", "hash", "run"])
+        for batch in portions(batches, 2):
+            row, place, hashes = batch_hits(batch.column(2), shared.value, apart)
+            runs = place // RUN
+            order = np.lexsort((hashes, runs, row))  # several places of a pair in a run are one
+            row, runs, hashes = row[order], runs[order], hashes[order]
+            new = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), dtype=bool), (row[1:] != row[:-1]) | (runs[1:] != runs[:-1]) | (hashes[1:] != hashes[:-1])]))
+            at = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes[new].view(np.int64)), pa.array(runs[new].astype(np.int64))], names=["key", "text_hash", "hash", "run"])
 
     return docs.select("key", "text_hash", "text").mapInArrow(run, schema)
 
@@ -218,10 +313,9 @@ def near_words(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("iid", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for row, (text, items) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
-                h, places = word_hashes(words, text.as_py())
+                h, places = word_hashes(text.as_py())
                 out = []
                 for item in items:
                     mask = np.zeros(len(h) + 1, dtype=np.int64)
@@ -238,17 +332,23 @@ def near_words(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text", "items").mapInArrow(run, schema)
 
 
-def dense(h: np.ndarray, item: np.ndarray, need: int, span: int, single: bool) -> np.ndarray:
-    """The words of h near `need` places, in a run of span words, that start a pair of the item."""
-    kinds = (0,) if single else (1, 2)
-    own = np.concatenate([pairs(item, k) for k in kinds])
+def item_pairs(item: np.ndarray, single: bool) -> np.ndarray:
+    return np.unique(np.concatenate([pairs(item, k) for k in ((0,) if single else (1, 2))]))
+
+
+def dense(h: np.ndarray, own: np.ndarray, need: int, span: int, single: bool) -> np.ndarray:
+    """The words of h near `need` places, in a run of span words, that start one of the
+    item's pairs `own`."""
     starts = np.zeros(len(h), dtype=bool)
-    for k in kinds:
-        g = pairs(h, k)
-        starts[: len(g)] |= np.isin(g, own)
+    for k in (0,) if single else (1, 2):
+        g = pairs(h, k) if len(h) > k else h[:0]
+        if len(own):
+            starts[: len(g)] |= own.take(np.searchsorted(own, g), mode="clip") == g
     at = np.flatnonzero(starts)
     first, last = at[: max(0, len(at) - need + 1)], at[need - 1 :]
     inside = last - first < span
+    if not inside.any():
+        return at[:0]
     mask = np.zeros(len(h) + 1, dtype=np.int64)
     np.add.at(mask, np.maximum(first[inside] - span, 0), 1)
     np.add.at(mask, np.minimum(last[inside] + span + 1, len(h)), -1)
@@ -260,12 +360,17 @@ def aligned(near: DataFrame, key: T.DataType) -> DataFrame:
     schema = T.StructType([T.StructField("key", key), T.StructField("iid", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
+            if len(known) > 10_000:
+                known.clear()
             columns = (batch.column(c).to_pylist() for c in ("iid", "words", "places", "item", "least", "need", "span", "single"))
             for row, (iid, words, places, item, least, need, span, single) in enumerate(zip(*columns, strict=True)):
                 h, at, a = np.frombuffer(words, dtype="<u8"), np.frombuffer(places, dtype="<i4"), np.frombuffer(item, dtype="<u8")
-                close = dense(h, a, need, span, single)
+                if iid not in known:
+                    known[iid] = item_pairs(a, single)
+                close = dense(h, known[iid], need, span, single)
                 if not len(close):
                     continue
                 # where the runs break stand so many words that match nothing that no alignment goes on

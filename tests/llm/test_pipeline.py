@@ -44,11 +44,10 @@ def test_near_dedup_stage(stages):
 
 def test_decontamination_stage(spark, stages):
     before, after, *_ = stages["decontaminate"]
-    words = decontaminate.Words()
-    items = [decontaminate.word_hashes(words, r.text)[0] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").where("text IS NOT NULL").collect()]
+    items = [decontaminate.word_hashes(r.text)[0] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").where("text IS NOT NULL").collect()]
 
     def holds(text):
-        h = decontaminate.word_hashes(words, text)[0]
+        h = decontaminate.word_hashes(text)[0]
         return any(decontaminate.smith_waterman(i, h)[0] >= len(i) for i in items if len(i))
 
     assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before if not holds(r["text"])}
