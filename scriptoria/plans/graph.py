@@ -247,24 +247,6 @@ def g31(spark, d):
     return n(missing, "missing_summary", "warn").unionByName(n(o.where("o_orderstatus = 'P'"), "stale", "info")).unionByName(n(broken, "broken_link", "error")).unionByName(n(orphan, "orphan", "warn"))
 
 
-@query("j16_span_tree", "WITH RECURSIVE t AS (SELECT 1::BIGINT AS id, 0 AS depth, '1' AS path UNION ALL SELECT c.p_partkey, t.depth + 1, t.path || '/' || c.p_partkey FROM part c JOIN t ON c.p_partkey // 3 = t.id AND c.p_partkey > 1 WHERE t.depth < 12) SELECT id, depth, path FROM t")
-def j16(spark, d):
-    table(spark, d, "part").createOrReplaceTempView("_span_rows")
-    return spark.sql(
-        "WITH RECURSIVE t AS (SELECT CAST(1 AS BIGINT) AS id, 0 AS depth, '1' AS path UNION ALL SELECT c.p_partkey, t.depth + 1, concat(t.path, '/', c.p_partkey) FROM _span_rows c JOIN t ON floor(c.p_partkey / 3) = t.id AND c.p_partkey > 1 WHERE t.depth < 12) SELECT id, depth, path FROM t"
-    )
-
-
-@query("g16_topic_clusters")
-def g16(spark, d):
-    """k-means on unit vectors; cluster sizes are not those of density clustering."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(spark, d, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return KMeans(k=10, seed=7).fit(e).transform(e).select("vec_id", F.col("prediction").alias("topic"))
-
-
 @query("g17_mixture_levels")
 def g17(spark, d):
     """Gaussian mixtures on four principal axes; the component count of least BIC."""
