@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of this package that register queries, by section of the inventory.
-MODULES = ("relational", "telemetry", "retrieval", "graph", "text", "evaluation", "library", "ingest", "wiki", "search", "clusters")
+MODULES = ("relational", "telemetry", "retrieval", "graph", "text", "evaluation", "library", "ingest", "wiki", "search", "clusters", "stored")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
