@@ -18,6 +18,10 @@ Nodes whose capacity exceeds all their edges are on one side of every minimum cu
 are settled first, their edges move into their neighbours' capacities, and only what is
 left goes through the maximum flow.
 
+A name is outbid by the page's text itself: an element called a sidebar or a form that holds
+the page's first article, main or h1 (a theme's wrapper) is not excluded for its name, and what
+else lies in it is judged by its own names and by the cut.
+
 A class or id is read as a compound of which the last word says what it is: post-comments
 are comments, a legal-analysis is an analysis. Before words for any container (comment-list,
 footer-inner) the word before decides.
@@ -78,7 +82,7 @@ BOILER_HEADS = frozenset(
 )
 #: Those of them that also decide before a word for any container.
 BOILER_FIRST = frozenset("ad ads advert advertisement sponsor sponsored promo banner cookie cookies nav navbar navigation menu breadcrumb breadcrumbs footer masthead sidebar comment comments disqus share social related newsletter popup modal widget".split())
-CONTAINERS = frozenset("content body text list area wrap wrapper container inner outer section box block item items link links bar title main slot zone panel form holder group region row col column left right top bottom header unit thread".split())
+CONTAINERS = frozenset("content body text list area wrap wrapper container inner outer section box block item items link links bar title main slot zone panel form holder group region row col column left right top bottom header unit thread button buttons".split())
 CONTENT_WORDS = frozenset("article content post entry story main prose".split())
 #: Names that begin with these speak of a page's state.
 STATES = frozenset("no not with without has is hide show".split())
@@ -117,35 +121,47 @@ def _says(name: str) -> int:
 
 
 class _Element:
-    __slots__ = ("depth", "evidence", "form", "hard", "links", "near", "node", "parent", "tag", "title", "words")
+    __slots__ = ("depth", "evidence", "hard", "links", "named", "near", "node", "out", "parent", "seen", "tag", "title", "words")
 
     def __init__(self, tag: str, parent: _Element | None, rest: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.words = self.links = 0  # of the blocks right under it
-        self.node, self.evidence, self.hard, self.title = -1, 0, bool(parent and parent.hard), False
+        self.node, self.evidence, self.hard, self.named, self.title = -1, 0, False, False, False
+        self.out: bool | None = None  # whether the contract excludes it, once asked
+        self.seen: set[str] = parent.seen if parent else set()  # of the page
         self.near = parent.near if parent else None  # the nearest with evidence, itself included
-        self.form = self if tag == "form" else parent.form if parent else None
         if tag in ("html", "body", "head"):
             return
-        if tag in ("h1", "article", "main"):
+        said = [0]
+        if rest and "=" in rest:
+            said += [_says(name) for m in _NAMES.finditer(rest) for name in (m[2] or m[3] or m[4] or "").split()]
+        if tag in ("h1", "article", "main") and tag not in self.seen and min(said) == 0:
+            self.seen.add(tag)  # the page's first: what holds it holds the page's text
             e = parent
             while e is not None and not e.title:
                 e.title = True
                 e = e.parent
-        said = [0]
-        if rest and "=" in rest:
-            said += [_says(name) for m in _NAMES.finditer(rest) for name in (m[2] or m[3] or m[4] or "").split()]
-        if tag in BOILER_TAGS or min(said) < 0 or (rest and _hides(rest)):
+        if tag in BOILER_TAGS or (rest and _hides(rest)):
             self.hard = True
+        elif min(said) < 0:
+            self.named = True
         elif tag in CONTENT_TAGS or max(said) > 0:
             self.evidence, self.near = EVIDENCE, self
         elif tag == "header" and self.near is None:
             self.evidence, self.near = HEADER, self
 
     def excluded(self) -> bool:
-        """Whether the contract excludes it: a form that holds the page's title doesn't count."""
-        return self.hard or (self.form is not None and not self.form.title)
+        """Whether the contract excludes it, by what it or an element around it is: a form or
+        a name doesn't count where the page's first article, main or h1 lies below it."""
+        path, e = [], self
+        while e is not None and e.out is None:
+            path.append(e)
+            e = e.parent
+        out = e is not None and e.out
+        for e in reversed(path):
+            out = e.out = out or e.hard or ((e.named or e.tag == "form") and not e.title)
+        return out
 
 
 def blocks_of(page: str) -> list[tuple[str, _Element, float]]:

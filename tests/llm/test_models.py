@@ -429,3 +429,15 @@ def test_long_lists_of_copies_and_of_shared_passages(spark, block):
     want, _ = brute_components(texts, 3, 85, 100)
     got = near_dedup.near_duplicates(df, 3, 85, 100, block=block).collect()
     assert {r.doc_id: r.component_id for r in got} == want and 40 < len(set(want.values())) < 140
+
+
+@pytest.mark.parametrize("wrapper", ["<div class='content-sidebar-wrap'><article>{}</article></div>", "<div class='layout sidebar-right'><main>{}</main></div>", "<div class='page-menu-push'><div><h1>The title of it all</h1>{}</div></div>", "<div id='sidebar-layout'><div class='inner'><article>{}</article></div><div class='sidebar'><p>" + LONG + "More here.</p></div></div>"])
+def test_html_wrappers_named_like_boilerplate_keep_the_article(wrapper):
+    body = f"<p>{LONG}</p><p>{LONG}It ends.</p>"
+    title = "The title of it all " if "<h1>" in wrapper else ""
+    assert html_extract.main_text("<body>" + wrapper.format(body) + "</body>") == f"{title}{LONG.strip()} {LONG}It ends."
+
+
+def test_html_drops_share_buttons_and_comments_that_are_articles():
+    page = f"<body><main><article><p>{LONG}</p><div class='share-buttons'>Tweet this page and tell all of your friends about it.</div></article><div id='comments'><article><p>{LONG}I say.</p></article><article class='comment'><p>{LONG}So do I.</p></article></div></main></body>"
+    assert html_extract.main_text(page) == LONG.strip()
