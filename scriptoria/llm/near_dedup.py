@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from scriptoria.session import cut_lineage
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93))
 
 
@@ -142,7 +142,10 @@ def _spanning(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) ->
         x = np.zeros((m, width), dtype=np.float32)
         x[row[a:b], column[a:b] - low] = 1
         both += x @ x.T
-    linked = den * both >= num * (sizes[:, None] + sizes[None, :] - both)
+    linked = np.zeros((m, m), dtype=bool)
+    for low in range(0, m, 128):  # by rows, so that only truth values fill a whole square
+        rows = slice(low, low + 128)
+        linked[rows] = den * both[rows] >= num * (sizes[rows, None] + sizes[None, :] - both[rows])
     np.fill_diagonal(linked, False)
     seen, edges = np.zeros(m, dtype=bool), []
     for start in range(m):

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks longer than this go to the reference tokenizer, whose merging stays n log n.
 LONG_CHUNK = 400
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 
 
 class Irregular(Exception):
