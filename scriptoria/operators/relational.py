@@ -80,3 +80,16 @@ def with_aliases(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
     flat = aliases.select(norm(F.col("canonical")).alias("_to"), F.explode(F.concat(F.array("canonical"), F.coalesce("variants", F.array()))).alias("v"))
     flat = flat.groupBy(norm(F.col("v")).alias("_from")).agg(F.min("_to").alias("_to"))
     return df.withColumn("_from", norm(F.col(column))).join(flat, "_from", "left").withColumn("name", F.coalesce("_to", "_from")).drop("_from", "_to")
+
+
+def name_index(authors: DataFrame, cited: DataFrame, like: str | None = None, limit: int | None = 50, least: int | None = 1, most: int = 500) -> DataFrame:
+    """(name, papers, cites): authors (name, paper) by the citations (paper) of their papers,
+    then papers, then name. A limit that is missing, 0 or out of range is clamped to 50, 1 or
+    `most`, `least` papers to 1; `like` is a part of the name in any case, blank for all."""
+    rows = min(most, max(1, int(limit or 50)))
+    a = authors.where(F.trim("name") != "").select("name", "paper").distinct()
+    if like and like.strip():
+        a = a.where(F.contains(F.lower("name"), F.lit(like.strip().lower())))
+    n = cited.groupBy("paper").agg(F.count("*").alias("n"))
+    g = a.join(n, "paper", "left").groupBy("name").agg(F.count("*").alias("papers"), F.coalesce(F.sum("n"), F.lit(0)).alias("cites"))
+    return g.where(F.col("papers") >= max(1, int(least or 1))).orderBy(F.desc("cites"), F.desc("papers"), "name").limit(rows)

@@ -469,3 +469,14 @@ def k5(spark, d):
 @query("k7_delete_orphans", "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def k7(spark, d):
     return table(spark, d, "orders").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select("o_orderkey")
+
+
+@query(
+    "t6_clamped_names",
+    "WITH a AS (SELECT DISTINCT s_name AS name, l_partkey AS paper FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_name ILIKE '%0%'), n AS (SELECT l_partkey AS paper, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT name, count(*)::BIGINT AS papers, coalesce(sum(n), 0)::BIGINT AS cites FROM a LEFT JOIN n USING (paper) GROUP BY name HAVING count(*) >= 1 ORDER BY cites DESC, papers DESC, name LIMIT 500",
+)
+def t6(spark, d):
+    """Suppliers as authors of the parts they sent; a limit of 100,000 is clamped to 500."""
+    line = table(spark, d, "lineitem")
+    a = line.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("s_name").alias("name"), F.col("l_partkey").alias("paper"))
+    return ops.name_index(a, line.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("paper")), " 0 ", 100_000, 0)

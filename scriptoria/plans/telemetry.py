@@ -214,6 +214,18 @@ def f31(spark, d):
     return e.select("event_id", F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd").alias("week"), F.date_format("ts", "yyyy-MM").alias("month"), F.unix_timestamp("ts").alias("seconds"))
 
 
+@query(
+    "w8_week_delta",
+    f"""WITH {JOBS_SQL}, a AS (SELECT stage, duration_ms, date_diff('day', created_at::DATE, DATE '2024-01-30') AS age FROM jobs WHERE status = 'completed'),
+g AS (SELECT stage, count(*) FILTER (WHERE age < 7) AS n_now, count(*) FILTER (WHERE age >= 7) AS n_before, quantile_cont(duration_ms, 0.95) FILTER (WHERE age < 7) AS a, quantile_cont(duration_ms, 0.95) FILTER (WHERE age >= 7) AS b FROM a WHERE age >= 0 AND age < 14 GROUP BY stage)
+SELECT stage, CASE WHEN n_now >= 300 AND n_before >= 300 THEN round(a - b, 3) END AS delta, CASE WHEN n_now < 300 OR n_before < 300 THEN 'few' WHEN (a - b) / b > 0.3 THEN 'slower' WHEN (a - b) / b < -0.3 THEN 'faster' ELSE 'steady' END AS label FROM g""",
+)
+def w8_delta(spark, d):
+    """The window's delta behind a gate of 300 samples on either side."""
+    g = ops.timing_deltas(jobs(spark, d), NOW, min_samples=300)
+    return g.select("stage", F.when(F.col("label") != "few", F.round(F.col("now_p95") - F.col("before_p95"), 3)).alias("delta"), "label")
+
+
 @query(
     "w8_running_totals",
     f"WITH {JOBS_SQL}, g AS (SELECT stage, created_at::DATE AS day, count(*) AS n FROM jobs GROUP BY ALL) SELECT stage, day::VARCHAR AS day, sum(n) OVER (PARTITION BY stage ORDER BY day)::BIGINT AS total FROM g",
