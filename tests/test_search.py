@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -134,3 +135,23 @@ def test_common_subsequence_bounds_the_ratio():
     for _ in range(300):
         x, y = ("".join(rng.choice("ab c") for _ in range(rng.randrange(30))) for _ in range(2))
         assert matching.ratio(x, y) * (len(x) + len(y)) <= 2 * matching.subsequence(x, y) + 1e-9
+
+
+def test_centroids_are_fitted_without_the_scores_of_all_rows():
+    x = np.random.default_rng(1).normal(size=(16_384, 8))
+    tracemalloc.start()
+    ann.fit_centroids(x, 1024, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_384 * 1024 * 8 / 2
+
+
+def test_a_query_moves_once_for_a_block_whatever_its_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "CHUNK", 70)
+    x = np.random.default_rng(5).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    index = ann.write_index(df, str(tmp_path / "ix"), lists=20)
+    assert index._visits(df.select("id", "vector"), 20).count() == 400
+    found = [(r.query_id, r.id, r.rank) for r in index.search(df, 5, probes=20).collect()]
+    assert sorted(found) == sorted((r.query_id, r.id, r.rank) for r in vectors.knn_join(df, df, 5).collect())
