@@ -155,3 +155,15 @@ def test_a_query_moves_once_for_a_block_whatever_its_lists(spark, tmp_path, monk
     assert index._visits(df.select("id", "vector"), 20).count() == 400
     found = [(r.query_id, r.id, r.rank) for r in index.search(df, 5, probes=20).collect()]
     assert sorted(found) == sorted((r.query_id, r.id, r.rank) for r in vectors.knn_join(df, df, 5).collect())
+
+
+def test_title_search_moves_titles_not_grams(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK", 20, raising=False)
+    monkeypatch.setattr(matching, "PART", 50, raising=False)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(("ice", "core", "cores", "sea", "level", "record")) for _ in range(rng.randrange(1, 7)))) for i in range(300)]
+    found = matching.title_search(spark.createDataFrame(rows, "id long, title string"), F.col("id") % 3 == 0, 0.85)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "gram" not in plan and "token" not in plan  # no row for a gram or a candidate
+    got = sorted((r.id, r.other, r["size"], round(r.similarity, 9)) for r in found.collect())
+    assert got == plain_matches(rows, lambda i: i % 3 == 0, 0.85)
