@@ -40,12 +40,12 @@ def _rank_sql(rounds: int, standard: bool) -> str:
 
 @query("g1_page_rank", _rank_sql(30, False))
 def g1(spark, d):
-    return ops.page_rank(*_nodes_and_edges(spark, d)).select("id", F.round("rank", 10).alias("rank"))
+    return ops.page_rank(None, _nodes_and_edges(spark, d)[1]).select("id", F.round("rank", 10).alias("rank"))
 
 
 @query("g1_page_rank_standard", _rank_sql(30, True))
 def g1_standard(spark, d):
-    return ops.page_rank(*_nodes_and_edges(spark, d), standard=True).select("id", F.round("rank", 10).alias("rank"))
+    return ops.page_rank(None, _nodes_and_edges(spark, d)[1], standard=True).select("id", F.round("rank", 10).alias("rank"))
 
 
 @query(

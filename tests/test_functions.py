@@ -248,3 +248,19 @@ def test_prose_diff_of_long_texts_and_nulls(spark):
     df = spark.createDataFrame([(1, words, words + " w1 w1 new"), (2, None, "a a"), (3, "a a", None), (4, "", "")], "k int, a string, b string")
     got = {r.k: (r.p.words_added, r.p.words_removed) for r in df.select("k", tx.prose_diff(F.col("a"), F.col("b")).alias("p")).collect()}
     assert got == {1: (3, 0), 2: (2, 0), 3: (0, 2), 4: (0, 0)}
+
+
+def test_page_rank_equals_a_plain_version(spark):
+    rows = [(i, (7 * i + k) % 23) for i in range(60) for k in range(i % 4)] + [(70, 70), (5, 6), (5, 6), (99, 3)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    ids = sorted({x for r in rows for x in r})
+    known = [(a, b) for a, b in rows if a != b]
+    for standard in (False, True):
+        rank = {i: 1 / len(ids) for i in ids}
+        for _ in range(12):
+            total = sum(v for i, v in rank.items() if not standard or all(a != i for a, _ in known))
+            got = {i: sum(rank[a] / sum(x == a for x, _ in known) for a, b in known if b == i) for i in ids}
+            free = {i: standard or all(a != i for a, _ in known) for i in ids}
+            rank = {i: 0.85 * (got[i] + (total / len(ids) if free[i] else 0)) + 0.15 / len(ids) for i in ids}
+        found = graph.page_rank(None, edges, rounds=12, standard=standard)
+        assert {r.id: r["rank"] for r in found.collect()} == pytest.approx(rank, rel=1e-12)
