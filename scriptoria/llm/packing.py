@@ -63,7 +63,7 @@ class ByteBpe:
     texts with other white space at a chunk's end, and long chunks, are encoded by the
     reference tokenizer."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -73,7 +73,7 @@ class ByteBpe:
         special = {t["content"] for t in model.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.chunks = self._cache()
+        self.entries, self.chunks = entries, self._cache()
 
     def _cache(self):
         encode = self.encode_chunk
@@ -98,7 +98,7 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if len(self.chunks) > CACHE_ENTRIES:
+        if len(self.chunks) > self.entries:
             self.chunks.clear()
         first, *rest = text.split(" ")
         if not first or first[0].isspace() or first[-1].isspace():
@@ -119,10 +119,11 @@ class ByteBpe:
 _tokenizers: dict[str, tuple[ByteBpe, np.ndarray]] = {}
 
 
-def tokenizer(path: str) -> tuple[ByteBpe, np.ndarray]:
+def tokenizer(path: str, entries: int = CACHE_ENTRIES) -> tuple[ByteBpe, np.ndarray]:
     if path not in _tokenizers:
         t = ByteBpe(path)
         _tokenizers[path] = t, t.sentence_ends(1 << 16)
+    _tokenizers[path][0].entries = entries
     return _tokenizers[path]
 
 
@@ -190,16 +191,17 @@ def pack(
     grid: int = 16,
     block: int = 1 << 19,
     with_ids: bool = True,
+    cache_entries: int = CACHE_ENTRIES,
 ) -> DataFrame:
     """Pieces: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with
-    with_ids, the ids themselves."""
+    with_ids, the ids themselves. A worker keeps the ids of cache_entries chunks."""
     key_type = docs.schema[key_col].dataType
     fields = [T.StructField(key_col, key_type)] + [T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, ends_sentence = tokenizer(tokenizer_path)
+        bpe, ends_sentence = tokenizer(tokenizer_path, cache_entries)
         next_id = TaskContext.get().partitionId() << 40
         # the documents of the stream: key, ids, ids of the document before them, its length
         stream: list[tuple[object, bytes, int, int]] = []

@@ -30,7 +30,7 @@ def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False, cache_entries=400_000)
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -441,3 +441,10 @@ def test_html_wrappers_named_like_boilerplate_keep_the_article(wrapper):
 def test_html_drops_share_buttons_and_comments_that_are_articles():
     page = f"<body><main><article><p>{LONG}</p><div class='share-buttons'>Tweet this page and tell all of your friends about it.</div></article><div id='comments'><article><p>{LONG}I say.</p></article><article class='comment'><p>{LONG}So do I.</p></article></div></main></body>"
     assert html_extract.main_text(page) == LONG.strip()
+
+
+def test_ids_do_not_depend_on_the_size_of_the_cache():
+    texts = [f"some words {i} and {i % 3} more" for i in range(50)]
+    small, large = packing.ByteBpe(PATH, entries=5), packing.ByteBpe(PATH, entries=1000)
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    assert len(small.chunks) < 12 and len(large.chunks) > 50
