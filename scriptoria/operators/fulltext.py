@@ -2,7 +2,7 @@
 
 A text field has one of the weights A to D. A token's impact in a row is the sum over fields
 of weight times count, in hundredths and so exact. write_fields orders rows into blocks by
-their length, longest first (long rows have the great impacts), and writes
+their characters, longest first (long rows have the great impacts), and writes
 
     postings   bucket of the token / token, block, id, impact
     maxima     bucket of the token / token, block, greatest impact, rows
@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,9 +35,9 @@ FIELD_WEIGHTS = {"A": 100, "B": 40, "C": 20, "D": 10}
 BLOCKS = 2048
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case letter-and-digit tokens."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+def spaced_tokens(text: Column) -> Column:
+    """Lower-case letter-and-digit tokens, parted by spaces."""
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
 
 
 def terms_of(query: str | None) -> list[str]:
@@ -44,8 +45,8 @@ def terms_of(query: str | None) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[^\W_]+", (query or "").lower())))
 
 
-def _bucket(token: Column, buckets: int) -> Column:
-    return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
+def _bucket(token: str, buckets: int) -> int:
+    return zlib.crc32(token.encode()) % buckets
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ class FieldIndex:
     buckets: int
 
     def of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
-        own = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
+        own = sorted({_bucket(t, self.buckets) for t in terms})
         return rows.where(F.col("bucket").isin(*own) & F.col("token").isin(*terms))
 
     def bounds(self, terms: list[str]) -> list[tuple[int, int, int]]:
@@ -92,40 +93,56 @@ class FieldIndex:
 
 
 def write_fields(rows: DataFrame, id_col: str, fields: dict[str, str], path: str, bucket_rows: int = 100_000, block_rows: int = 256) -> FieldIndex:
-    """Indexes the fields (column: weight A to D) of rows below path. The one shuffle moves
-    postings; a frequent token's bucket is written by several tasks."""
+    """Indexes the fields (column: weight A to D) of rows below path. The postings of
+    a batch of rows leave Python in the index's order, so that the sort after the one
+    shuffle of postings merges runs. Several tasks write a bucket: each gets about the
+    postings of bucket_rows / 20 rows, and a part of a frequent token's."""
     kind = dict(rows.dtypes)[id_col]
-    d = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(c) for c in fields])
-    weights = [FIELD_WEIGHTS[w] for w in fields.values()]
+    kept = rows.where(F.col(id_col).isNotNull())
+    length = sum((F.length(F.coalesce(F.col(c), F.lit(""))).cast("long") for c in fields), F.lit(0))
+    n = kept.count()
+    blocks = max(1, min(BLOCKS // 2, n // block_rows))
+    found = kept.select(length.alias("length")).approxQuantile("length", [i / blocks for i in range(1, blocks)], 0.5 / blocks) if n and blocks > 1 else []
+    cuts = np.array(sorted(set(found)))
+    buckets = max(8, n // bucket_rows)
+    salts = max(-(-20 * n // (buckets * bucket_rows)), n // (100 * bucket_rows), 1)
+    weights = np.array([FIELD_WEIGHTS[w] for w in fields.values()], dtype=np.int64)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, words, impacts, lengths = [], [], [], []
-            for i, found in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
-                total: Counter = Counter()
-                for weight, field in zip(weights, found, strict=True):
-                    for w, n in Counter(field).items():
-                        total[w] += weight * n
-                at += [i] * len(total)
-                words += total.keys()
-                impacts += total.values()
-                lengths += [sum(map(len, found))] * len(total)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, type=pa.int64())), pa.array(words, type=pa.string()), pa.array(impacts, type=pa.int64()), pa.array(lengths, type=pa.int64())], names=["id", "token", "impact", "length"])
-
-    p = d.mapInArrow(counted, f"id {kind}, token string, impact long, length long")
-    size = d.select(sum((F.size(c) for c in fields), F.lit(0)).alias("length"))
-    n = size.count()
-    blocks = max(1, min(BLOCKS // 2, n // block_rows))
-    cuts = sorted(set(size.approxQuantile("length", [i / blocks for i in range(1, blocks)], 0.5 / blocks))) if n and blocks > 1 else []
-    # how many cuts lie above a row's length: block 0 holds the longest rows
-    block = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c > F.col("length"))) if cuts else F.lit(0)
-    buckets, salts = max(8, n // bucket_rows), max(1, n // (100 * bucket_rows))
-    p = p.withColumns({"block": block, "bucket": _bucket(F.col("token"), buckets)}).select("bucket", "token", "block", "id", "impact")
+            # how many cuts lie above a row's length: block 0 holds the longest rows
+            block = len(cuts) - np.searchsorted(cuts, batch.column(1).to_numpy(), side="right")
+            parts = [pc.split_pattern(column, " ") for column in batch.columns[2:]]
+            sizes = np.concatenate([pc.list_value_length(x).to_numpy() for x in parts])
+            field, row = np.divmod(np.repeat(np.arange(len(sizes)), sizes), batch.num_rows)
+            found = pa.concat_arrays([x.flatten() for x in parts]).dictionary_encode()
+            tokens, code = found.dictionary, found.indices.to_numpy()
+            real = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)[code]
+            field, row, code = field[real], row[real], code[real]
+            words = pa.table({"bucket": pa.array([_bucket(w, buckets) for w in tokens.to_pylist()], type=pa.int32()), "token": tokens})
+            by_rank = pc.sort_indices(words, [("bucket", "ascending"), ("token", "ascending")]).to_numpy()
+            rank = np.empty(len(tokens), dtype=np.int64)
+            rank[by_rank] = np.arange(len(tokens))
+            # one number for a token, block and row; its occurrences' weights are summed
+            place = (rank[code] * (len(cuts) + 1) + block[row]) * batch.num_rows + row
+            order = np.argsort(place)
+            place = place[order]
+            first = np.flatnonzero(np.diff(place, prepend=-1))
+            impact = np.add.reduceat(weights[field[order]], first) if len(first) else np.zeros(0, dtype=np.int64)
+            of, row = np.divmod(place[first], batch.num_rows)
+            of, at = np.divmod(of, len(cuts) + 1)
+            own = words.take(pa.array(by_rank[of])).combine_chunks()
+            columns = [own["bucket"], own["token"], pa.array(at, type=pa.int32()), batch.column(0).take(pa.array(row)), pa.array(impact)]
+            yield from pa.table(columns, names=["bucket", "token", "block", "id", "impact"]).to_batches(max_chunksize=1 << 16)
+
+    d = kept.select(F.col(id_col).alias("id"), length.alias("length"), *[spaced_tokens(F.col(c)).alias(f"field{i}") for i, c in enumerate(fields)])
+    p = d.mapInArrow(counted, f"bucket int, token string, block int, id {kind}, impact long")
     dealt = p.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(salts)))
     dealt.sortWithinPartitions("bucket", "token", "block", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     postings = rows.sparkSession.read.schema(p.schema).parquet(f"{path}/postings")
-    m = postings.groupBy("bucket", "token", "block").agg(F.max("impact").alias("most"), F.count("*").alias("n"))
-    m.repartition("bucket").sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/maxima")
+    part = F.pmod(F.xxhash64("token"), F.lit(salts)).alias("part")
+    m = postings.select("bucket", part, "token", "block", "impact").repartition("bucket", "part").groupBy("bucket", "part", "token", "block").agg(F.max("impact").alias("most"), F.count("*").alias("n"))
+    m.drop("part").sortWithinPartitions("bucket", "token", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/maxima")
     return open_fields(rows.sparkSession, path, buckets, kind)
 
 

@@ -94,6 +94,22 @@ def test_fielded_search_equals_a_plain_version(spark, tmp_path):
     assert none.search("ice", 5).count() == 0
 
 
+def test_fielded_index_is_written_by_several_tasks_and_keeps_its_results(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["ice", "Core", "sea-level", "\u00a0x_y", "", "1\u00bd"]) for _ in range(rng.randrange(40))), rng.choice([None, "", " ice ", "x"])) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "id long, body string, venue string").repartition(3)
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = fulltext.write_fields(df, "id", {"body": "B", "venue": "D"}, str(tmp_path / "ix"), bucket_rows=1_000, block_rows=1)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert max(len(list(p.glob("*.parquet"))) for p in (tmp_path / "ix" / "postings").glob("bucket=*")) > 1
+    assert index.postings.groupBy("token", "id").count().where("count > 1").count() == 0
+    for q, k in (("ice", 30), ("core sea", 9), ("x y", 2_000), ("ice level x", 50)):
+        assert [tuple(r) for r in index.search(q, k).collect()] == plain_fields(rows, (40, 10), q, k), q
+
+
 def plain_matches(rows, asked, t):
     norm = {i: re.sub("[^a-z0-9]+", " ", (x or "").lower()).strip() for i, x in rows if i is not None}
     classes = {}
