@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +42,27 @@ def unboxed(df: DataFrame, names: list[str], **columns: Column) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: How to drop what operators keep in this Python worker between tasks, by operator.
+_kept: dict[str, Callable[[], object] | None] = {}
+
+
+def enter(operator: str, drop: Callable[[], object] | None = None) -> None:
+    """A task of this operator begins: what the others left in this worker goes. Spark
+    uses its workers again, so the stages of a pipeline would else add up in each."""
+    others = [name for name in _kept if name != operator]
+    for name in others:
+        if clear := _kept.pop(name):
+            clear()
+    _kept[operator] = drop
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; Arrow and the C library would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -46,6 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptoria.llm.common import enter
 from scriptoria.session import cut_lineage
 
 #: The bitmap of pairs: 16 MB.
@@ -186,6 +187,7 @@ def item_words(items: DataFrame, min_score: float) -> DataFrame:
     their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for batch in batches:
             out = []
             for iid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -203,6 +205,7 @@ def item_places(items: DataFrame) -> DataFrame:
     """(iid, need, single, place, hash): the pairs that start at each place of an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for batch in batches:
             for iid, words, need, single in zip(*(batch.column(c).to_pylist() for c in ("iid", "words", "need", "single")), strict=True):
                 h = np.frombuffer(words, dtype="<u8")
@@ -272,6 +275,7 @@ def frequencies(docs: DataFrame, wanted: Bitmap, apart: tuple[int, ...]) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
@@ -295,6 +299,7 @@ def seed_hits(docs: DataFrame, wanted: Bitmap, apart: tuple[int, ...]) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for batch in portions(batches, 2):
             row, place, hashes = batch_hits(batch.column(2), shared.value, apart)
             runs = place // RUN
@@ -313,6 +318,7 @@ def near_words(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("iid", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         for batch in batches:
             for row, (text, items) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 h, places = word_hashes(text.as_py())
@@ -360,6 +366,7 @@ def aligned(near: DataFrame, key: T.DataType) -> DataFrame:
     schema = T.StructType([T.StructField("key", key), T.StructField("iid", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
         known: dict[int, np.ndarray] = {}
         for batch in batches:
             out: list[list] = [[], [], [], [], []]

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptoria.llm.common import enter
 from scriptoria.llm.samples import labelled_sample
 
 SEGMENT = 512
@@ -242,7 +243,8 @@ _parsers: dict[int, Parser] = {}
 
 
 def parser_of(texts: dict[str, str]) -> Parser:
-    """Built once in each worker process."""
+    """Built once in each worker process, and again after another operator's tasks there."""
+    enter("language_id", _parsers.clear)
     key = hash(tuple(sorted(texts.items())))
     if key not in _parsers:
         _parsers.clear()

@@ -37,9 +37,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptoria.llm.common import enter, give_back
 from scriptoria.session import cut_lineage
 
 CACHE_ENTRIES = 100_000
+#: Shingles of sets that a task keeps while it confirms pairs: 8 MB beside the longest text.
+VALUES_HELD = 1 << 20
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0xD6E8FEB86659FD93))
 
 
@@ -54,6 +57,11 @@ class Words(dict):
 _words = Words()
 
 
+def begin() -> None:
+    """A task of this operator begins."""
+    enter("near_dedup", _words.clear)
+
+
 def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the text's runs of n words."""
     if len(_words) > CACHE_ENTRIES:
@@ -88,6 +96,7 @@ def sketches(docs: DataFrame, n: int, k: int, key_col: str, text_col: str) -> Da
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             sizes, digests, found = [], [], []
             for text in batch.column(2):
@@ -136,7 +145,7 @@ def _spanning(sets: list[np.ndarray], sizes: np.ndarray, num: int, den: int) ->
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     both = np.zeros((m, m), dtype=np.float32)
-    width = 4096
+    width = 1024
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [low, low + width])
         x = np.zeros((m, width), dtype=np.float32)
@@ -187,6 +196,7 @@ def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, de
     sets_schema = "cid long, n long, items binary"
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             sets = [shingle_set(t.as_py(), n) for t in batch.column(1)]
             columns = [batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([s.tobytes() for s in sets], type=pa.binary())]
@@ -196,8 +206,11 @@ def _long_list_links(postings: DataFrame, texts: DataFrame, n: int, num: int, de
     filled = cells.join(sets, "cid")
 
     def within(table: pa.Table) -> pa.Table:
+        begin()
         cids = table.column("cid").to_pylist()
         found = [(cids[i], cids[j]) for i, j in _spanning([np.frombuffer(x, dtype="<u8") for x in table.column("items").to_pylist()], np.array(table.column("n").to_pylist(), dtype=np.float64), num, den)]
+        if len(cids) >= 256:
+            give_back()
         return pa.table({"a": pa.array([min(p) for p in found], type=pa.int64()), "b": pa.array([max(p) for p in found], type=pa.int64())})
 
     return filled.groupBy("cell").applyInArrow(within, "a long, b long").distinct()
@@ -209,12 +222,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     d = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin()
         for batch in batches:
             known: dict[int, np.ndarray] = {}
+            held = 0
 
             def full(cid: int, text: pa.Scalar, known=known) -> np.ndarray:
+                nonlocal held
                 if cid not in known:
+                    if held > VALUES_HELD:
+                        known.clear()
+                        held = 0
                     known[cid] = shingle_set(text.as_py(), n)
+                    held += len(known[cid])
                 return known[cid]
 
             keep = []

@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptoria.llm.common import enter
+
 # Fixed value: the pre-tokenizer's pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks longer than this go to the reference tokenizer, whose merging stays n log n.
@@ -120,6 +122,7 @@ _tokenizers: dict[str, tuple[ByteBpe, np.ndarray]] = {}
 
 
 def tokenizer(path: str, entries: int = CACHE_ENTRIES) -> tuple[ByteBpe, np.ndarray]:
+    enter("packing", _tokenizers.clear)
     if path not in _tokenizers:
         t = ByteBpe(path)
         _tokenizers[path] = t, t.sentence_ends(1 << 16)

@@ -1,11 +1,12 @@
 """Each pipeline stage against a plain version on the smallest tables."""
 
 import duckdb
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptoria.llm import decontaminate, quality_rules
+from scriptoria.llm import decontaminate, language_id, near_dedup, packing, quality_rules
 from test_models import brute_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -86,3 +87,16 @@ def test_clashing_columns_null_keys_and_repeats(spark):
     assert left == sorted({(1, clean), (None, rows[4][1]), (3, None), (4, ""), (5, item), (5, long_text)}, key=str)
     left = sorted(((r.doc_id, r.text) for r in stage["decontaminate"](spark, df, SMALL).collect()), key=str)
     assert left == sorted([r for r in rows if r[1] != item], key=str)
+
+
+def test_a_worker_keeps_the_state_of_one_operator():
+    """Spark uses its Python workers again: what the stages leave there would add up."""
+    path, model = public_tokenizers.path("byte_bpe_50k.json"), {"a": "some words of text", "b": "other ones"}
+    packing.tokenizer(path)
+    language_id.parser_of(model)
+    assert language_id._parsers and not packing._tokenizers
+    near_dedup.begin()
+    near_dedup.shingle_set("some words of text", 3)
+    assert near_dedup._words and not language_id._parsers
+    packing.tokenizer(path)
+    assert packing._tokenizers and not near_dedup._words
