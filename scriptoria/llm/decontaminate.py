@@ -14,15 +14,19 @@ too, and they meet it at as many places in a run of M + X <= 3 m - T words. Wher
 more than 0 (items of one or two words at 0.5), each common word is a seed.
 
 1. One pass counts how often the items' pairs occur in all documents.
-2. An item's need - 1 most frequent places are left out: at least one of any match is left.
-   The pairs of the other, rarest places are its seeds.
+2. An item's need - hits most frequent places are left out: of any match, at least `hits`
+   places are left, in a run of 3 m - T words. The pairs of the other, rarest places are its
+   seeds. `hits` is as much as HITS, less where the item has fewer places to meet or where
+   the seeds would be met more than GROWTH times as often as with one; any choice is exact.
 3. A second pass gives the places where a document has a seed; a join on the seed's hash
-   names the items. Only the words around them (3 m - T on either side) go on.
+   names the items. A document that has `hits` places of an item in two neighbouring cells
+   of 3 m - T words or more goes on, as the words of these cells and around them.
 4. Pairs of document and item that have `need` places in a run are aligned.
 
 Either pass reads the texts once, whatever the size of the benchmark. Both look a pair up
 in a bitmap of at most 2 ** BITS bits (all that is broadcast) before anything leaves
-the task; items are never collected. A false hit of the bitmap ends in the join.
+the task, and so does the third, which takes the texts that go on; items are never
+collected. A false hit of the bitmap ends in the join.
 
 Defined cases: null and empty texts match nothing; items of equal text are matched each;
 short items follow the same rule, so at 0.5 an item of one or two words is held by each
@@ -53,6 +57,9 @@ from scriptoria.session import cut_lineage
 BITS = 27
 #: Places are told by runs of so many words.
 RUN = 128
+#: Seeds that a document and an item must share, and how many times as often as the seeds
+#: that one alone takes they may be met. They decide costs, never results.
+HITS, GROWTH = 3, 16
 #: Items of one document that are handled together.
 ITEMS_AT_ONCE = 256
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -223,11 +230,12 @@ def bits_for(hashes: int, most: int) -> int:
 
 
 class Bitmap:
-    """Which hashes may be wanted: those whose last bits are marked."""
+    """Which hashes may be wanted: those whose last bits and whose middle bits are marked."""
 
     def __init__(self, hashes: DataFrame, most: int = BITS) -> None:
         bits = bits_for(hashes.count(), most)
         self.mask, width = np.uint64((1 << bits) - 1), min(15, bits)
+        hashes = hashes.select(F.explode(F.array("hash", F.shiftrightunsigned("hash", 32))).alias("hash"))
         place = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))
         bucket, bit = F.shiftright(place, width).cast("int"), place.bitwiseAND(F.lit((1 << width) - 1))
         marks = np.zeros(max(1, (1 << bits) // 8), dtype=np.uint8)
@@ -236,13 +244,17 @@ class Bitmap:
             marks[(r.bucket << width) // 8 :][: len(marked)] = marked
         self.marks = np.unpackbits(marks, bitorder="little").view(bool) if bits <= 24 else marks
 
-    def hits(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of the hashes that may be wanted."""
+    def marked(self, hashes: np.ndarray) -> np.ndarray:
         at = (hashes & self.mask).view(np.int64)
         if self.marks.dtype == bool:
             return np.flatnonzero(self.marks.take(at))
         return np.flatnonzero(self.marks.take(at >> 3) >> (at & 7).astype(np.uint8) & 1)
 
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that may be wanted."""
+        at = self.marked(hashes)
+        return at[self.marked(hashes[at] >> np.uint64(32))]
+
 
 def batch_hits(texts: pa.Array, wanted: Bitmap, apart: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, place, hash) of the wanted pairs of a batch of texts, all texts in one array."""
@@ -312,9 +324,21 @@ def seed_hits(docs: DataFrame, wanted: Bitmap, apart: tuple[int, ...]) -> DataFr
     return docs.select("key", "text_hash", "text").mapInArrow(run, schema)
 
 
+def likely_texts(docs: DataFrame, wanted: Bitmap) -> DataFrame:
+    """The documents whose text's hash may be wanted."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
+        for batch in batches:
+            yield batch.take(pa.array(shared.value.hits(batch.column(1).to_numpy().view(np.uint64))))
+
+    return docs.select("key", "text_hash", "text").mapInArrow(run, docs.select("key", "text_hash", "text").schema)
+
+
 def near_words(docs: DataFrame) -> DataFrame:
     """(key, iid, words, places): the words around the hits of each item of a document, from
-    rows with its text and items (iid, span, runs)."""
+    rows with its text and items (iid, span, wide, cells); hits are in a cell or the next."""
     schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("iid", T.LongType()), T.StructField("words", T.BinaryType()), T.StructField("places", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +349,9 @@ def near_words(docs: DataFrame) -> DataFrame:
                 out = []
                 for item in items:
                     mask = np.zeros(len(h) + 1, dtype=np.int64)
-                    for r in item["runs"]:
-                        mask[max(0, r * RUN - item["span"])] += 1
-                        mask[min(len(h), (r + 1) * RUN + item["span"] + 2)] -= 1
+                    for c in item["cells"]:
+                        mask[max(0, c * item["wide"] * RUN - item["span"])] += 1
+                        mask[min(len(h), (c + 2) * item["wide"] * RUN + item["span"] + 2)] -= 1
                     near = np.flatnonzero(np.cumsum(mask[:-1]) > 0)
                     gaps = np.flatnonzero(np.diff(near) > 1) + 1  # a word 0 stands for what is left out
                     out.append((item["iid"], np.insert(h[near], gaps, 0).tobytes(), np.insert(places[near], gaps, -1).astype("<i4").tobytes()))
@@ -408,17 +432,23 @@ def matches(docs: DataFrame, items: DataFrame, key_col: str = "doc_id", text_col
 
     often = frequencies(d, Bitmap(places, bits), apart)
     weight = places.join(often, "hash", "left").groupBy("iid", "place", "need").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    turn = F.row_number().over(Window.partitionBy("iid").orderBy(F.desc("n"), "place"))
-    rare = weight.withColumn("turn", turn).where("turn >= need").select("iid", "place")
-    seeds = cut_lineage(places.join(rare, ["iid", "place"]).join(known.select("iid", "span"), "iid").select("hash", "iid", "span").distinct())
+    falling, item = Window.partitionBy("iid").orderBy(F.desc("n"), "place"), Window.partitionBy("iid")
+    ranked = weight.select("*", F.row_number().over(falling).alias("turn"), F.sum("n").over(falling.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("met"))
+    ranked = ranked.withColumn("most", GROWTH * F.max(F.when(F.col("turn") == F.col("need"), F.col("met"))).over(item))
+    ranked = ranked.where((F.col("turn") >= F.col("need")) | (F.col("turn") > F.col("need") - HITS) & (F.col("met") <= F.col("most")))
+    rare = ranked.select("iid", "place", (F.col("need") - F.min("turn").over(item) + 1).alias("hits"))
+    wide = F.ceil(F.col("span") / RUN).alias("wide")
+    seeds = cut_lineage(places.join(rare, ["iid", "place"]).join(known.select("iid", "span", wide), "iid").select("hash", "iid", "place", "hits", "span", "wide").distinct())
 
     # the same seed of the same text counts once; a frequent seed's join is split as skewed
-    found = seed_hits(d, Bitmap(seeds, bits), apart).join(seeds, "hash").select("key", "text_hash", "iid", "span", "run").distinct()
-    found = found.groupBy("key", "text_hash", "iid", "span").agg(F.collect_set("run").alias("runs"))
+    found = seed_hits(d, Bitmap(seeds.select("hash").distinct(), bits), apart).join(seeds, "hash").withColumn("cell", F.floor(F.col("run") / F.col("wide")))
+    found = found.withColumn("cell", F.explode(F.array(F.col("cell") - 1, "cell"))).groupBy("key", "text_hash", "iid", "hits", "span", "wide", "cell").agg(F.count_distinct("place").alias("n")).where("n >= hits")
+    found = found.groupBy("key", "text_hash", "iid", "span", "wide").agg(F.collect_list("cell").alias("cells"))
     found = found.withColumn("part", F.floor((F.row_number().over(Window.partitionBy("key", "text_hash").orderBy("iid")) - 1) / ITEMS_AT_ONCE))
-    found = cut_lineage(found.groupBy("key", "text_hash", "part").agg(F.collect_list(F.struct("iid", "span", "runs")).alias("items")))
+    found = cut_lineage(found.groupBy("key", "text_hash", "part").agg(F.collect_list(F.struct("iid", "span", "wide", "cells")).alias("items")))
     of = found.select(F.col("key").alias("k"), F.col("text_hash").alias("h"), "items")
-    once = d.join(of.select("k", "h").distinct(), d["key"].eqNullSafe(F.col("k")) & (d["text_hash"] == F.col("h")), "left_semi").dropDuplicates(["key", "text_hash"])
+    likely = likely_texts(d, Bitmap(found.select(F.col("text_hash").alias("hash")).distinct(), bits))
+    once = likely.join(of.select("k", "h").distinct(), likely["key"].eqNullSafe(F.col("k")) & (likely["text_hash"] == F.col("h")), "left_semi").dropDuplicates(["key", "text_hash"])
     texts = once.join(of, once["key"].eqNullSafe(F.col("k")) & (once["text_hash"] == F.col("h")))
 
     near = near_words(texts).join(known.select(F.col("iid"), F.col("words").alias("item"), "least", "need", "span", "single"), "iid")

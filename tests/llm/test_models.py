@@ -237,6 +237,29 @@ def test_decontamination(spark):
     assert decontaminate.matches(df.limit(0), it).count() == 0 and decontaminate.matches(df, it.limit(0)).count() == 0
 
 
+def test_decontamination_takes_several_seeds(spark, monkeypatch):
+    """Texts that share one rare pair with an item aren't read again; copies are, wherever
+    the bounds of cells lie in them, and so are both halves of an item, one of them frequent."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    filler = lambda n: [word() for _ in range(n)]
+    item = filler(30)
+    docs = [(i, " ".join(filler(40) + item[i : i + 2] + filler(40))) for i in range(28)]
+    docs += [(100 + n, " ".join(filler(n) + item + filler(90))) for n in range(96, 132, 3)]
+    often, rare = filler(18), filler(18)  # 36 words, of which 16 places are left out
+    docs += [(200 + i, " ".join(filler(20) + often)) for i in range(60)] + [(300, " ".join(filler(9) + rare))]
+    read = []
+    near = decontaminate.near_words
+    monkeypatch.setattr(decontaminate, "near_words", lambda texts: read.extend(r.key for r in texts.select("key").collect()) or near(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(100 + n, 1) for n in range(96, 132, 3)}
+    it = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(df, it).collect()} == want
+    assert sorted(read) == sorted(d for d, _ in want)
+    it = spark.createDataFrame([(2, " ".join(often + rare))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.matches(df, it).collect()} == {*range(200, 260), 300}
+
+
 def test_decontamination_equals_aligning_every_pair(spark):
     """Heavily edited copies, short items and items whose common pairs are all that is left."""
     rng = random.Random(8)
